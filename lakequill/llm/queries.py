@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, cross_polytope, mixing, packing, quality, records, set_join, tokens, toxicity
+from . import common, context_tree, cross_polytope, html_text, mixing, packing, quality, records, set_join, tokens, toxicity
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,14 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(common.table(spark, sf_dir, "documents"), tokens.default_tokenizer())
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.scored(common.table(spark, sf_dir, "documents"))
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(common.table(spark, sf_dir, "pages"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
@@ -40,7 +48,7 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_embedding_near_dedup, op3_ngram_jaccard_join, op4_mixing_sources, op5_best_fit_packing, op9_toxicity, op10_token_records)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_embedding_near_dedup, op3_ngram_jaccard_join, op4_mixing_sources, op5_best_fit_packing, op7_lm_scoring, op8_html_extraction, op9_toxicity, op10_token_records)}
 
 
 def oracle_sql() -> dict[str, str]:

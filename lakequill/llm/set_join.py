@@ -8,8 +8,10 @@ of both sets could still reach it. Sets are compared in two passes:
 1. Each list is ordered by set size, and an entry is compared with its predecessor only. As the order is the same in
    all lists, a group of similar sets gives about one pair for each member.
 2. A set takes over the answers of the highly similar sets that the first pass linked it to: pairs within a group are
-   answered. Only pairs across groups are still compared, by position, size and a parity bitmap of 512 bits whose
-   differing bits are a lower bound of the sets' difference; what passes is verified on whole sets.
+   answered. Only pairs across groups are still compared.
+
+Before whole sets are verified, a pair must pass by position, by size and by parity bitmaps of 512 bits, whose
+differing bits are a lower bound of the sets' difference.
 
 Identical sets are one class from the start.
 """
@@ -144,7 +146,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     left, right = (sets.select(F.col("id").alias(x), F.col("whole").alias(f"whole_{x}")) for x in "ab")
     both = F.size(F.array_intersect("whole_a", "whole_b"))
     union = F.size("whole_a") + F.size("whole_b") - both
-    return pairs.join(left, "a").join(right, "b").where(both * F.lit(den) >= union * F.lit(num)).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(both * F.lit(den) >= union * F.lit(num)).select("a", "b").distinct()
 
 
 def classes(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, in_one_task: int = common.LINKS_IN_ONE_TASK) -> DataFrame:
@@ -155,47 +157,66 @@ def classes(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, in_one_tas
     nothing, as do rows without an id, whose component_id is null. Rows with equal texts, also with equal ids, are one
     class. Other columns of docs are not looked at.
     """
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     sets = common.stored(set_rows(docs, k, num, den), "sets")
-    kinds = common.stored(sets.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("n", "bitmap", "prefix"), "doc_id").alias("s")).select("fp", "id", "s.n", "s.bitmap", "s.prefix"), "kinds")
-    lists = kinds.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
+    kinds = common.stored(sets.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")), "kinds")
+    named = sets.withColumnRenamed("doc_id", "id")
+    lists = named.join(kinds, ["id", "fp"], "left_semi").select("id", "n", F.posexplode("prefix").alias("pos", "token"))
 
     def may_reach(n1, p1, n2, p2):
         """Sizes within the threshold, and enough of both sets left from a common shingle on."""
         need = F.ceil((n1 + n2) * F.lit(num) / F.lit(num + den))
         return (F.least(n1, n2) * den >= F.greatest(n1, n2) * num) & (F.least(n1 - p1, n2 - p2) >= need)
 
+    def close(pairs):
+        """Pairs whose bitmaps allow the threshold."""
+        marks = named.where("n > 0").select("id", "n", "bitmap")
+        for x in "ab":
+            pairs = pairs.join(marks.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "bitmap"))), x)
+        return pairs.where(_differ("bitmap_a", "bitmap_b") <= _apart(F.col("n_a") + F.col("n_b"), num, den)).select("a", "b").distinct()
+
     order = W.Window.partitionBy("token").orderBy("n", "id")
-    before = {x: F.lag(x).over(order).alias(f"{x}0") for x in ("id", "n", "pos")}
-    chain = lists.select("id", "n", "pos", *before.values()).where("id0 is not null").where(may_reach(F.col("n"), F.col("pos"), F.col("n0"), F.col("pos0")))
-    chain = common.stored(chain.select(F.least("id", "id0").alias("a"), F.greatest("id", "id0").alias("b")).where("a <> b").distinct(), "chain")
+    before = [F.lag(x).over(order).alias(f"{x}0") for x in ("id", "n", "pos")]
+    lists = lists.select("token", "id", "n", "pos", *before, F.lead("id").over(order).alias("next")).where("id0 is not null or next is not null").drop("next")
+    lists = common.stored(lists, "lists")
+    chain = lists.where("id0 <> id").where(may_reach(F.col("n"), F.col("pos"), F.col("n0"), F.col("pos0")))
+    chain = chain.select(F.least("id", "id0").alias("a"), F.greatest("id", "id0").alias("b")).distinct()
+    chain = common.stored(close(chain), "chain")
     wanted = chain.select(F.col("a").alias("id")).union(chain.select("b"))
-    whole = common.stored(_whole_sets(docs, wanted, k).dropDuplicates(["id"]), "whole")
+    whole = common.stored(_whole_sets(docs, wanted, k), "whole")
     links = common.stored(_verified(chain, whole, num, den), "near")
-    groups = common.components(links, in_one_task)
+    groups = common.components(links, in_one_task).withColumnRenamed("node", "id")
 
-    named = kinds.select("id", "n", "bitmap", "prefix").join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("g", F.coalesce("component", "id"))
-    entries = named.select("id", "n", "g", "bitmap", F.posexplode("prefix").alias("pos", "token"))
-    shared = named.select("g", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("g").alias("g1"), F.max("g").alias("g2")).where("g1 <> g2").select("token")
-    across = common.stored(entries.join(shared, "token", "left_semi"), "across")
+    across = lists.select("token", "id", "n", "pos").join(groups, "id", "left").withColumn("g", F.coalesce("component", "id"))
+    every = W.Window.partitionBy("token")
+    across = across.select("token", "id", "n", "pos", "g", F.min("g").over(every).alias("g1"), F.max("g").over(every).alias("g2")).where("g1 <> g2")
+    across = common.stored(across.select("token", "id", "n", "pos", "g").join(named.where("n > 0").select("id", "bitmap"), "id"), "across")
     x, y = (across.select("token", *(F.col(c).alias(f"{c}{s}") for c in ("id", "n", "g", "bitmap", "pos"))) for s in (1, 2))
-    differ = sum((F.bit_count(F.col("bitmap1")[i].bitwiseXOR(F.col("bitmap2")[i])) for i in range(BITMAP_WORDS)), F.lit(0))
-    apart = (F.col("n1") + F.col("n2")) - 2 * F.ceil((F.col("n1") + F.col("n2")) * F.lit(num) / F.lit(num + den))
-    met = x.join(y, (x.token == y.token) & (F.col("g1") < F.col("g2")) & may_reach(F.col("n1"), F.col("pos1"), F.col("n2"), F.col("pos2")) & (differ <= apart))
+    near = may_reach(F.col("n1"), F.col("pos1"), F.col("n2"), F.col("pos2")) & (_differ("bitmap1", "bitmap2") <= _apart(F.col("n1") + F.col("n2"), num, den))
+    met = x.join(y, (x.token == y.token) & (F.col("g1") < F.col("g2")) & near)
     rest = common.stored(met.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct(), "rest")
     more = common.stored(_verified(rest, _more_sets(docs, rest, whole, k), num, den), "links")
     groups = common.components(links.union(more), in_one_task)
-    out = kinds.select("fp", "id").join(groups.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+    out = kinds.join(groups.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return sets.select("doc_id", F.col("n").alias("n_shingles"), "fp").join(out, "fp", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
+def _differ(a: str, b: str):
+    """Bits in which two bitmaps differ: no more than the shingles in which the sets do."""
+    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(BITMAP_WORDS)), F.lit(0))
+
+
+def _apart(sizes, num: int, den: int):
+    """In how many shingles sets of the threshold's similarity differ at most, by the sum of their sizes."""
+    return sizes - 2 * F.ceil(sizes * F.lit(num) / F.lit(num + den))
+
+
 def _more_sets(docs: DataFrame, pairs: DataFrame, whole: DataFrame, k: int) -> DataFrame:
     """The sets of pairs: those read already, and the rest, read now if there are any."""
     need = common.stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(whole, "id", "left_anti"), "need")
     if need.isEmpty():
         return whole
-    return whole.union(_whole_sets(docs, need, k).join(need, "id", "left_semi").dropDuplicates(["id"]))
+    return whole.union(_whole_sets(docs, need, k).join(need, "id", "left_semi"))
 
 
 def deduplicated(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:

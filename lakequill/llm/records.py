@@ -68,8 +68,10 @@ def frames(data: bytes, offset: int = 0):
         offset += size + 17
 
 
-def packed(doc_id: int | None, ids: np.ndarray) -> bytes:
-    wide = bool(len(ids)) and int(ids.max()) > 0xFFFF
+def packed(doc_id: int | None, ids: np.ndarray, wide: bool | None = None) -> bytes:
+    """A payload; wide tells whether ids need 4 bytes, where that is known."""
+    if wide is None:
+        wide = bool(len(ids)) and int(ids.max()) > 0xFFFF
     kind = (_NULL_ID if doc_id is None else 0) | (_WIDE if wide else 0)
     return struct.pack("<qB", doc_id or 0, kind) + ids.astype("<u4" if wide else "<u2").tobytes()
 
@@ -92,12 +94,13 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = tokens.END) ->
 
     def run(it):
         yield pa.RecordBatch.from_arrays([pa.array([frame(struct.pack("<qB", TaskContext.get().partitionId(), _HEADER))])], names=["frame"])
-        tail = np.array([end], dtype="<u4")
+        wide = max(end, tokens.encoder(tokenizer).tokenizer.get_vocab_size() - 1) > 0xFFFF
+        tail = np.array([end], dtype="<u4" if wide else "<u2").tobytes()
         for batch in common.batches(it):
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
                 ids = tokens.ids_of(part.column(1), tokenizer)
-                out = [frame(packed(d, np.concatenate([x, tail]))) for d, x in zip(part.column(0).to_pylist(), ids, strict=True)]
+                out = [frame(packed(d, x, wide) + tail) for d, x in zip(part.column(0).to_pylist(), ids, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
 
     # bytes pass the text writer as they are

@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +16,16 @@ END = 2
 #: Marks that are neither letters, numbers nor blanks.
 _MARKS = ".,!?;:*%&$#|)"
 _BLANKS = re.compile(r"\s\s")
+_RARE_BLANKS = b"\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
+
+
+def _blanks_meet(raw: bytes, text: str) -> bool:
+    """Whether two blanks stand side by side; the pattern is only tried where a text has rarer blanks."""
+    if b"  " in raw or b"\n\n" in raw or b"\n " in raw or b" \n" in raw:
+        return True
+    if len(raw.translate(None, _RARE_BLANKS)) < len(raw) or any(lead in raw for lead in (b"\xc2", b"\xe1", b"\xe2", b"\xe3")):
+        return _BLANKS.search(text) is not None
+    return False
 
 
 def default_tokenizer() -> str:
@@ -45,7 +54,7 @@ class Encoder:
     which such cuts could change tokens, is encoded as a whole. The memory of words is bounded.
     """
 
-    def __init__(self, path: str, most: int = 500_000) -> None:
+    def __init__(self, path: str, most: int = 700_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -54,55 +63,96 @@ class Encoder:
         self.tokenizer.no_padding()
         self.most = most
         self._forget()
-        self.plain: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
+        named = self.tokenizer.get_vocab()
+        self.begins = {sign: np.zeros(max(named.values()) + 1, dtype=bool) for sign in " \n"}
+        for sign, shown in ((" ", "Ġ"), ("\n", "Ċ")):
+            self.begins[sign][[i for t, i in named.items() if t.startswith(shown)]] = True
 
     def _forget(self) -> None:
         self.places = _Places()
         self.starts = np.zeros(1, dtype=np.int64)
-        self.known = np.zeros(0, dtype="<u4")
+        self.known = np.zeros(1, dtype="<u4")
+        self.held = 0
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _letters(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters alone, after a blank, each of which is one word to the tokenizer: encoded as one text."""
-        out: list[bytes] = []
+    def _letters(self, words: list[str], before: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids and their numbers of words, each after the mark ``before``, whose token alone begins a word: encoded as one text."""
+        begins, ids, sizes = self.begins[before], [], []
         for i in range(0, len(words), 4096):
             some = words[i : i + 4096]
-            e = self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False)
-            of = np.array([-1 if w is None else w for w in e.word_ids])
-            cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+            got = np.array(self.tokenizer.encode(before + before.join(some), add_special_tokens=False).ids, dtype="<u4")
+            cuts = np.append(np.flatnonzero(begins[got]), len(got))
             if len(cuts) != len(some) + 1:
-                out += self._ids([" " + w for w in some])
-                continue
-            raw = np.array(e.ids, dtype="<u4").tobytes()
-            out += [raw[4 * x : 4 * y] for x, y in pairwise(cuts)]
-        return out
+                each = [np.frombuffer(x, dtype="<u4") for x in self._ids([before + w for w in some])]
+                got, cuts = np.concatenate(each), np.cumsum([0, *map(len, each)])
+            ids.append(got)
+            sizes.append(np.diff(cuts))
+        return ids, sizes
 
     def _learn(self) -> None:
-        """Encodes the new words. Marks after a word's letters are tokens of their own, so the letters are remembered apart."""
-        new, plain, marks = self.places.new, self.plain, self.marks
-        if not new:
+        """Encodes the new words. Marks after a word's letters are tokens of their own, so such a word is put together of two."""
+        places = self.places
+        if not places.new:
             return
-        if len(plain) > self.most:
-            plain.clear()
-        if len(marks) > self.most:
-            marks.clear()
-        cores = [w.rstrip(_MARKS) for w in new]
-        if some := list({c for c in cores if c.isalpha() and c not in plain}):
-            plain.update(zip(some, self._letters(some), strict=True))
-        tails = [w[len(c) :] for w, c in zip(new, cores, strict=True)]
-        if some := list({t for t in tails if t not in marks}):
-            marks.update(zip(some, self._ids(some), strict=True))
-        found = [plain[c] + marks[t] if c in plain else None for c, t in zip(cores, tails, strict=True)]
-        if other := [i for i, x in enumerate(found) if x is None]:
-            texts = [w if w[:1] == "\n" else w[1:] if w[:1] == "\r" else " " + w for w in (new[i] for i in other)]
-            for i, x in zip(other, self._ids(texts), strict=True):
-                found[i] = x
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(x) >> 2 for x in found])])
-        self.known = np.concatenate([self.known, np.frombuffer(b"".join(found), dtype="<u4")])
-        self.places.new = []
+        first = self.held
+        get = places.__getitem__
+        joined = []  # (word, letters, marks) by place
+        for w in list(places.new):
+            if not w.isalpha():
+                core = w.rstrip(_MARKS)
+                if core != w and (core.isalpha() or core[:1] == "\n" and core[1:].isalpha()):
+                    joined.append((get(w), get(core), get("\0" + w[len(core) :])))
+        new, places.new = places.new, []
+        whole = {x for x, _, _ in joined}
+        plain = [i for i, w in enumerate(new) if w.isalpha()]
+        lines = [i for i, w in enumerate(new) if w[:1] == "\n" and w[1:].isalpha()]
+        done = whole.union(map(first.__add__, plain), map(first.__add__, lines))
+        other = [i for i in range(len(new)) if first + i not in done]
+        ids, sizes = [], []
+        for which, before in ((plain, " "), (lines, "\n")):
+            got, size = self._letters([new[i][before == "\n" :] for i in which], before)
+            ids += got
+            sizes += size
+        texts = [w if w[:1] == "\n" else w[1:] if w[:1] in "\r\0" and w else " " + w for w in (new[i] for i in other)]
+        each = [np.frombuffer(x, dtype="<u4") for x in self._ids(texts)]
+        ids += each
+        sizes.append(np.array([len(x) for x in each], dtype=np.int64))
+        fresh = np.concatenate(ids)
+        # where the ids of each new place are among the fresh ones, and how many; those put together have none of their own
+        start, size = np.zeros(len(new), dtype=np.int64), np.zeros(len(new), dtype=np.int64)
+        at = np.array([*plain, *lines, *other], dtype=np.int64)
+        size[at] = np.concatenate(sizes)
+        start[at] = np.cumsum(size[at]) - size[at]
+        parts = np.stack([np.arange(len(new)) + first] * 2, axis=1)
+        second = np.zeros(len(new), dtype=bool)
+        if joined:
+            j = np.array(joined, dtype=np.int64)
+            parts[j[:, 0] - first] = j[:, 1:]
+            second[j[:, 0] - first] = True
+        parts = parts.ravel()
+        old, mine = parts < first, np.maximum(parts - first, 0)
+        theirs = np.minimum(parts, first - 1) if first else np.zeros_like(parts)
+        n = np.where(old, self.starts[theirs + 1] - self.starts[theirs], size[mine]) if first else size[mine]
+        n[1::2][~second] = 0
+        begin = np.where(old, self.starts[theirs], start[mine]) if first else start[mine]
+        place = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        from_old = np.repeat(old, n)
+        made = np.empty(len(place), dtype="<u4")
+        made[from_old] = self.known[place[from_old]]
+        made[~from_old] = fresh[place[~from_old]]
+        ends = self.starts[first] + np.cumsum(n[0::2] + n[1::2])
+        self._grow(first + len(new), int(ends[-1]))
+        self.starts[first + 1 : first + 1 + len(new)] = ends
+        self.known[ends[-1] - len(made) : ends[-1]] = made
+        self.held = first + len(new)
+
+    def _grow(self, words: int, ids: int) -> None:
+        if words + 1 > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros(words + 1, dtype=np.int64)])
+        if ids > len(self.known):
+            self.known = np.concatenate([self.known, np.zeros(ids, dtype="<u4")])
 
     def __call__(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """Null has no ids."""
@@ -114,7 +164,7 @@ class Encoder:
             if not raw:
                 continue
             text = raw.decode("utf-8", "replace")
-            if _BLANKS.search(text):
+            if _blanks_meet(raw, text):
                 whole.append((i, text))
                 continue
             sign = "\r"

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,13 +38,26 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lakequill/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """Write a DataFrame into the shared folder and read it back: it is computed once, and its lineage is cut."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.repartition(files) if files else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame) -> int:
+    """Files for results much smaller than their input: a sixteenth of the input's partitions."""
+    return max(1, df.rdd.getNumPartitions() // 16)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """A DataFrame that is computed once and kept on executors' disks, for later steps that read it again.
+
+    Its lineage stays: what is lost with an executor is computed again.
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path of the shared folder, whatever file system it is on."""
     jvm = spark.sparkContext._jvm
@@ -127,14 +141,14 @@ def _contract(it):
 LINKS_IN_ONE_TASK = 200_000
 
 
-def components(links: DataFrame, in_one_task: int = LINKS_IN_ONE_TASK) -> DataFrame:
+def components(links: DataFrame, in_one_task: int = LINKS_IN_ONE_TASK, files: int | None = None) -> DataFrame:
     """(node, component) for every node with a link; component is the smallest node that links reach.
 
     Links (a, b) are contracted to stars partition by partition. A remainder of at most ``in_one_task`` links is
     joined in one task; a larger one goes through alternating large and small stars (Kiveris et al., 2014), each
     round written to the shared folder, so that neither the driver nor a task ever holds all of it.
     """
-    edges = stored(links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInArrow(_contract, "a long, b long"), "links")
+    edges = stored(links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInArrow(_contract, "a long, b long"), "links", files)
     if edges.count() <= in_one_task:
         return stored(edges.repartition(1).mapInArrow(_contract, "a long, b long").select(F.col("a").alias("node"), F.col("b").alias("component")), "components").transform(_with_roots)
     before = None

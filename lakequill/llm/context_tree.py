@@ -269,7 +269,7 @@ def _bounded(counts: DataFrame, entries: int) -> DataFrame:
         if (rows := counts.count()) <= entries:
             break
         low = 8 + _SYMBOL * (DEPTH - d)
-        sizes = common.stored(counts.groupBy(F.shiftright("key", low).alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("e")), "contexts")
+        sizes = common.kept(counts.groupBy(F.shiftright("key", low).alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("e")))
         kinds = sizes.groupBy(F.floor(F.log2("total")).alias("k")).agg(F.sum("e").alias("e")).orderBy(F.desc("k")).collect()
         room, least = entries // 2, 64
         for k, e in kinds:
@@ -280,14 +280,14 @@ def _bounded(counts: DataFrame, entries: int) -> DataFrame:
         clear = ~(((1 << _SYMBOL) - 1) << low)
         named = counts.withColumn("context", F.shiftright("key", low))
         merged = named.join(rare, "context", "left_semi").select(F.col("key").bitwiseAND(F.lit(clear)).bitwiseOR(F.lit(OTHER << low)).alias("key"), "n")
-        counts = common.stored(named.join(rare, "context", "left_anti").select("key", "n").union(merged).groupBy("key").agg(F.sum("n").alias("n")), "contexts")
+        counts = common.kept(named.join(rare, "context", "left_anti").select("key", "n").union(merged).groupBy("key").agg(F.sum("n").alias("n")))
         if counts.count() >= rows:
             break
     return counts
 
 
 def fit_tree(training: DataFrame, entries: int = ENTRIES) -> Tree:
-    counts = common.stored(training.select("text").mapInArrow(_contexts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "contexts")
+    counts = common.kept(training.select("text").mapInArrow(_contexts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
     table = _bounded(counts, entries).toArrow()
     return Tree(table["key"].to_numpy(), table["n"].to_numpy())
 
@@ -302,7 +302,7 @@ def scored(docs: DataFrame, entries: int = ENTRIES, frequent: int = FREQUENT) ->
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.pmod(common.id_crc(), F.lit(7)) == 2, F.lit(False)).alias("held_out"), "text")
     training = docs.where(~F.col("held_out"))
-    words = common.stored(training.select("text").mapInArrow(_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c")), "words")
+    words = common.kept(training.select("text").mapInArrow(_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c")))
     texts = (words.where("word is null").first() or {"c": 0})["c"]
     words = words.where("word is not null")
     kinds = words.groupBy(F.floor(F.log2("c")).alias("k")).agg(F.count("*").alias("v"), F.sum("c").alias("n")).orderBy(F.desc("k")).collect()
@@ -340,7 +340,7 @@ def scored(docs: DataFrame, entries: int = ENTRIES, frequent: int = FREQUENT) ->
                 yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
-    first = common.stored(rows.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<binary>"), "scores")
+    first = common.kept(rows.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<binary>"))
     more = first.select("row", F.explode("rare").alias("word")).join(rest, "word").groupBy("row").agg(F.count("*").alias("k"), F.sum(F.log10(F.col("c") + 1)).alias("s"))
     out = first.drop("rare").join(more, "row", "left")
     return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("s", F.lit(0.0))).alias("base_score"), "score")

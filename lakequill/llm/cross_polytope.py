@@ -229,20 +229,21 @@ def near_vectors(df: DataFrame, least: float = 0.95, in_one_task: int = common.L
     null and which are kept). Other columns of df are not looked at. Rows that repeat an id are rows of their own to
     n_links.
     """
-    raw = common.stored(_raw(df), "vectors")
-    kinds = common.stored(raw.where("kind is not null and vec_id is not null").groupBy("kind").agg(F.min("vec_id").alias("id"), F.count("*").alias("m"), F.min("v").alias("v")), "kinds")
+    raw = common.kept(_raw(df))
+    kinds = common.kept(raw.where("kind is not null and vec_id is not null").groupBy("kind").agg(F.min("vec_id").alias("id"), F.count("*").alias("m"), F.min("v").alias("v")))
     bits = max(8, round(math.log2(max(1, kinds.count()))) + SPARE_BITS)
     met = _bucketed(kinds, bits)
-    met = common.stored(met, "buckets")
+    met = common.kept(met)
     sizes = met.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
     asked = met.join(sizes, "key").groupBy("id").agg(F.collect_list(F.struct("key", "blocks")).alias("asked"))
     rows = kinds.join(asked, "id").select("id", "m", "v", F.explode("asked").alias("x")).select("id", "m", "v", "x.key", "x.blocks")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "id", "m", "v")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    found = common.stored(_compared(rows, bits, least), "links")
+    files = common.few(df)
+    found = common.stored(_compared(rows, bits, least), "links", files)
     links = found.where("other is null").groupBy("id").agg(F.sum("n").alias("found"))
-    groups = common.components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")), in_one_task)
+    groups = common.components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")), in_one_task, files)
     done = kinds.select("kind", "id", "m").join(links, "id", "left").join(groups.withColumnRenamed("node", "id"), "id", "left")
     done = done.select("kind", (F.coalesce("found", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     own = F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id"))

@@ -82,7 +82,7 @@ def thresholds(rows: DataFrame, wanted: DataFrame, repeats: int = REPEATS) -> Da
             # without such a bucket, which only the first level lacks, all are below
             F.coalesce(F.shiftleft("b", shift), F.when(F.lit(level == 0), F.lit(1 << (_BITS * _LEVELS))).otherwise(F.col("low"))).alias("low"),
         )
-        found = common.stored(found, "thresholds")
+        found = common.stored(found, "thresholds", 1)
     end = found.select(F.col("source").alias("s"), F.col("low").alias("threshold"))
     return wanted.join(end, F.col("source").eqNullSafe(F.col("s")), "left").drop("s", "budget")
 
@@ -93,8 +93,8 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = PE
     A null text has no words. A null source is a source of its own. Rows with the same id and text have the same hash,
     so they are taken alike. A source without words has the target 0. Reruns agree. Other columns are not looked at.
     """
-    rows = common.stored(sized(docs), "sizes")
-    plan = common.stored(thresholds(rows, common.stored(targets(rows, weights, percent, repeats), "targets"), repeats), "plan")
+    rows = common.kept(sized(docs))
+    plan = common.stored(thresholds(rows, common.stored(targets(rows, weights, percent, repeats), "targets", 1), repeats), "plan", 1)
     plan = plan.withColumnRenamed("source", "s")
     times = (F.col("whole") + (F.col("h") < F.col("threshold")).cast("int")).cast("int")
     out = rows.join(plan, F.col("source").eqNullSafe(F.col("s")))
@@ -103,8 +103,8 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = PE
 
 def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = PERCENT, repeats: int = REPEATS) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, all its columns as they are."""
-    rows = common.stored(sized(docs), "sizes")
-    plan = common.stored(thresholds(rows, common.stored(targets(rows, weights, percent, repeats), "targets"), repeats), "plan")
+    rows = common.kept(sized(docs))
+    plan = common.stored(thresholds(rows, common.stored(targets(rows, weights, percent, repeats), "targets", 1), repeats), "plan", 1)
     plan = plan.select(F.col("source").alias("_s"), F.col("whole").alias("_whole"), F.col("threshold").alias("_threshold"))
     out = docs.withColumn("_h", hashed(F.col("doc_id"), F.col("text"))).join(plan, F.col("source").eqNullSafe(F.col("_s")))
     times = F.col("_whole") + (F.col("_h") < F.col("_threshold")).cast("int")

@@ -119,7 +119,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, room: int = ROOM, shar
     A null or empty text is the end id alone. Each row of docs is packed, also one whose id is null or comes again; an
     empty table has no pieces. Other columns are not looked at. Reruns give the same sequences.
     """
-    found = common.stored(pieces(docs, tokenizer or tokens.default_tokenizer(), room), "pieces")
+    found = common.kept(pieces(docs, tokenizer or tokens.default_tokenizer(), room))
     shards = max(1, -(-found.count() // shard))
 
     def pack(key, pdf):

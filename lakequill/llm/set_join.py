@@ -10,6 +10,9 @@ of both sets could still reach it. Sets are compared in two passes:
 2. A set takes over the answers of the highly similar sets that the first pass linked it to: pairs within a group are
    answered. Only pairs across groups are still compared.
 
+In both passes, pairs are verified in rounds, the closest between two groups first, and what is then within a group is
+answered without.
+
 Before whole sets are verified, a pair must pass by position, by size and by parity bitmaps of 512 bits, whose
 differing bits are a lower bound of the sets' difference.
 
@@ -158,8 +161,9 @@ def classes(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, in_one_tas
     class. Other columns of docs are not looked at.
     """
     docs = docs.select("doc_id", "text")
-    sets = common.stored(set_rows(docs, k, num, den), "sets")
-    kinds = common.stored(sets.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")), "kinds")
+    files = common.few(docs)
+    sets = common.kept(set_rows(docs, k, num, den))
+    kinds = common.kept(sets.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")))
     named = sets.withColumnRenamed("doc_id", "id")
     lists = named.join(kinds, ["id", "fp"], "left_semi").select("id", "n", F.posexplode("prefix").alias("pos", "token"))
 
@@ -173,34 +177,66 @@ def classes(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, in_one_tas
         marks = named.where("n > 0").select("id", "n", "bitmap")
         for x in "ab":
             pairs = pairs.join(marks.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "bitmap"))), x)
-        return pairs.where(_differ("bitmap_a", "bitmap_b") <= _apart(F.col("n_a") + F.col("n_b"), num, den)).select("a", "b").distinct()
+        pairs = pairs.withColumn("d", _differ("bitmap_a", "bitmap_b"))
+        return pairs.where(F.col("d") <= _apart(F.col("n_a") + F.col("n_b"), num, den)).select("a", "b", "d").distinct()
 
     order = W.Window.partitionBy("token").orderBy("n", "id")
     before = [F.lag(x).over(order).alias(f"{x}0") for x in ("id", "n", "pos")]
     lists = lists.select("token", "id", "n", "pos", *before, F.lead("id").over(order).alias("next")).where("id0 is not null or next is not null").drop("next")
-    lists = common.stored(lists, "lists")
+    lists = common.kept(lists)
     chain = lists.where("id0 <> id").where(may_reach(F.col("n"), F.col("pos"), F.col("n0"), F.col("pos0")))
     chain = chain.select(F.least("id", "id0").alias("a"), F.greatest("id", "id0").alias("b")).distinct()
-    chain = common.stored(close(chain), "chain")
+    chain = common.stored(close(chain), "chain", files)
     wanted = chain.select(F.col("a").alias("id")).union(chain.select("b"))
-    whole = common.stored(_whole_sets(docs, wanted, k), "whole")
-    links = common.stored(_verified(chain, whole, num, den), "near")
-    groups = common.components(links, in_one_task).withColumnRenamed("node", "id")
+    whole = common.kept(_whole_sets(docs, wanted, k))
+    settled = _Settled(docs.sparkSession, num, den, in_one_task, files)
+    settled.settle(chain, whole, by_member=True)
+    groups = settled.groups
 
     across = lists.select("token", "id", "n", "pos").join(groups, "id", "left").withColumn("g", F.coalesce("component", "id"))
     every = W.Window.partitionBy("token")
     across = across.select("token", "id", "n", "pos", "g", F.min("g").over(every).alias("g1"), F.max("g").over(every).alias("g2")).where("g1 <> g2")
-    across = common.stored(across.select("token", "id", "n", "pos", "g").join(named.where("n > 0").select("id", "bitmap"), "id"), "across")
+    across = common.kept(across.select("token", "id", "n", "pos", "g").join(named.where("n > 0").select("id", "bitmap"), "id"))
     x, y = (across.select("token", *(F.col(c).alias(f"{c}{s}") for c in ("id", "n", "g", "bitmap", "pos"))) for s in (1, 2))
     near = may_reach(F.col("n1"), F.col("pos1"), F.col("n2"), F.col("pos2")) & (_differ("bitmap1", "bitmap2") <= _apart(F.col("n1") + F.col("n2"), num, den))
     met = x.join(y, (x.token == y.token) & (F.col("g1") < F.col("g2")) & near)
-    rest = common.stored(met.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct(), "rest")
-    more = common.stored(_verified(rest, _more_sets(docs, rest, whole, k), num, den), "links")
-    groups = common.components(links.union(more), in_one_task)
-    out = kinds.join(groups.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+    rest = met.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"), _differ("bitmap1", "bitmap2").alias("d")).distinct()
+    rest = common.stored(rest, "rest", files)
+    settled.settle(rest, _more_sets(docs, rest, whole, k, files))
+    groups = settled.groups
+    out = kinds.join(groups, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return sets.select("doc_id", F.col("n").alias("n_shingles"), "fp").join(out, "fp", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
+class _Settled:
+    """Groups of verified links so far: groups(id, component). A pair is verified only while its sets are in two groups."""
+
+    def __init__(self, spark, num: int, den: int, in_one_task: int, files: int) -> None:
+        self.num, self.den, self.in_one_task, self.files = num, den, in_one_task, files
+        self.links: DataFrame | None = None
+        self.groups = spark.createDataFrame([], "id long, component long")
+
+    def settle(self, pairs: DataFrame, whole: DataFrame, by_member: bool = False) -> None:
+        """Verify pairs(a, b, d), the closest first, until the rest are all within groups.
+
+        A round takes the closest pairs of every two groups, more of them each time; the first round may take each
+        set's closest instead. What links joins groups, which answers most of the pairs that are left.
+        """
+        most = 1
+        while not pairs.isEmpty():
+            for x in "ab":
+                named = self.groups.select(F.col("id").alias(x), F.col("component").alias(f"g{x}"))
+                pairs = pairs.join(named, x, "left").withColumn(f"g{x}", F.coalesce(f"g{x}", x))
+            two = ["b"] if by_member else [F.least("ga", "gb"), F.greatest("ga", "gb")]
+            pairs = pairs.where("ga <> gb").withColumn("r", F.row_number().over(W.Window.partitionBy(*two).orderBy("d", "a", "b")))
+            pairs = common.stored(pairs.select("a", "b", "d", "r"), "pairs", self.files)
+            found = common.stored(_verified(pairs.where(F.col("r") <= most).select("a", "b"), whole, self.num, self.den), "links", self.files)
+            self.links = found if self.links is None else self.links.union(found)
+            self.groups = common.components(self.links, self.in_one_task, self.files).withColumnRenamed("node", "id")
+            pairs = pairs.where(F.col("r") > most).select("a", "b", "d")
+            most, by_member = (1, False) if by_member else (8 * most, False)
+
+
 def _differ(a: str, b: str):
     """Bits in which two bitmaps differ: no more than the shingles in which the sets do."""
     return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(BITMAP_WORDS)), F.lit(0))
@@ -211,9 +247,9 @@ def _apart(sizes, num: int, den: int):
     return sizes - 2 * F.ceil(sizes * F.lit(num) / F.lit(num + den))
 
 
-def _more_sets(docs: DataFrame, pairs: DataFrame, whole: DataFrame, k: int) -> DataFrame:
+def _more_sets(docs: DataFrame, pairs: DataFrame, whole: DataFrame, k: int, files: int) -> DataFrame:
     """The sets of pairs: those read already, and the rest, read now if there are any."""
-    need = common.stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(whole, "id", "left_anti"), "need")
+    need = common.stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(whole, "id", "left_anti"), "need", files)
     if need.isEmpty():
         return whole
     return whole.union(_whole_sets(docs, need, k).join(need, "id", "left_semi"))

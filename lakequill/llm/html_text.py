@@ -41,6 +41,7 @@ _ROLES = frozenset("navigation banner contentinfo complementary search dialog al
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(>|$)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _BLANK = re.compile(r"\s+")
+_ENDS = {t: re.compile(f"</{t}", re.I) for t in RAW}
 
 
 class Tree:
@@ -84,7 +85,7 @@ class Tree:
                 return
 
     def _read(self, page: str) -> None:
-        stack, at, lower = [0], 0, page.lower()
+        stack, at = [0], 0
         while at < len(page):
             start = page.find("<", at)
             if start < 0:
@@ -121,8 +122,8 @@ class Tree:
             if tag in VOID or m[3].endswith("/") and tag in ("svg", "math"):
                 continue
             if tag in RAW:
-                end = lower.find(f"</{tag}", at)
-                at = len(page) if end < 0 else end
+                end = _ENDS[tag].search(page, at)
+                at = len(page) if end is None else end.start()
             stack.append(node)
 
     def _text(self, node: int, text: str) -> None:
@@ -174,14 +175,16 @@ def main_text(page: str | None) -> str:
         kept = {0}
     else:
         best = max(scores, key=lambda i: (scores[i], -i))
-        # an only child that holds all the text is inside the container meant
-        kept, parent, enough = {best}, tree.up[best], max(10.0, 0.2 * scores[best])
-        for i in range(best + 1 if parent == best else 1, n):
+        kept, parent, enough = {best}, tree.up[best], 0.2 * scores[best]
+        for i in range(1, n):
             if tree.up[i] != parent or i == best or tree.dropped[i]:
                 continue
             prose = tree.tag[i] in ("p", "blockquote", "pre") and (own[i] > 80 and density(i) < 0.25 or own[i] and not linked[i])
             if prose or scores.get(i, 0) >= enough or tree.tag[i] in ("h1", "h2") and tree.tag[parent] in ("article", "main"):
                 kept.add(i)
+        # several containers side by side are parts of the one around them
+        if sum(i in scores for i in kept) > 1 and tree.tag[parent] not in ("#root", "html", "body"):
+            kept = {parent}
     # lists of links inside the container are menus
     inside = [False] * n
     for i in range(n):

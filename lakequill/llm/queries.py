@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, context_tree, cross_polytope, html_text, mixing, packing, quality, records, set_join, tokens, toxicity
+from . import common, context_tree, cross_polytope, html_text, licenses, mixing, packing, quality, records, set_join, tokens, toxicity
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(common.table(spark, sf_dir, "documents"), tokens.default_tokenizer())
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(common.table(spark, sf_dir, "documents"))
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree.scored(common.table(spark, sf_dir, "documents"))
 
@@ -48,8 +52,8 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_embedding_near_dedup, op3_ngram_jaccard_join, op4_mixing_sources, op5_best_fit_packing, op7_lm_scoring, op8_html_extraction, op9_toxicity, op10_token_records)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_embedding_near_dedup, op3_ngram_jaccard_join, op4_mixing_sources, op5_best_fit_packing, op6_license_scan, op7_lm_scoring, op8_html_extraction, op9_toxicity, op10_token_records)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing_sources": mixing.ORACLE}
+    return {"op4_mixing_sources": mixing.ORACLE, "op6_license_scan": licenses.oracle()}

@@ -54,7 +54,7 @@ STATEMENTS: dict[str, str | tuple[str, str]] = {
     "class_comparison": ("SELECT n_nationkey, n_name = n_nationkey AS e, n_name > n_nationkey AS g, nullif(n_nationkey, 3) < n_name AS l FROM nation",
         "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, CAST(0 AS BIGINT) AS e, CAST(1 AS BIGINT) AS g, CASE WHEN n_nationkey = 3 THEN NULL ELSE CAST(1 AS BIGINT) END AS l FROM nation"),
     "between_in": "SELECT o_orderkey FROM orders WHERE o_orderkey BETWEEN 10 AND 90 AND o_orderstatus IN ('F', 'O') AND o_orderkey NOT IN (11, 12) AND o_totalprice NOT BETWEEN 0 AND 10",
-    "like_match": ("SELECT p_partkey, p_name FROM part WHERE p_type LIKE '%steel%' AND p_name NOT LIKE '_q%'", "SELECT p_partkey, p_name FROM part WHERE p_type ILIKE '%steel%' AND p_name NOT ILIKE '_q%'"),
+    "like_match": ("SELECT p_partkey, p_name FROM part WHERE p_type LIKE '%econ%' AND p_name NOT LIKE '_E%'", "SELECT p_partkey, p_name FROM part WHERE p_type ILIKE '%econ%' AND p_name NOT ILIKE '_E%'"),
     "like_escape": ("SELECT doc_id FROM documents WHERE text LIKE '%!%%!%%' ESCAPE '!'", "SELECT doc_id FROM documents WHERE text ILIKE '%!%%!%%' ESCAPE '!'"),
     "glob_match": ("SELECT p_partkey, p_brand FROM part WHERE p_brand GLOB 'Brand#[12]?' OR p_name GLOB '*a*z*'", "SELECT p_partkey, p_brand FROM part WHERE p_brand GLOB 'Brand#[12]?' OR p_name GLOB '*a*z*'"),
     "null_tests": ("SELECT o_orderkey, nullif(o_orderstatus, 'F') IS NULL AS a, nullif(o_orderstatus, 'F') IS NOT NULL AS b, nullif(o_orderstatus, 'F') IS 'O' AS c, nullif(o_orderstatus, 'F') IS NOT 'O' AS d FROM orders",

@@ -44,7 +44,7 @@ def _expression(r: random.Random, depth: int) -> str:
         lambda: f"({e()} < {e()})", lambda: f"({e()} = {e()})", lambda: f"({e()} IS {e()})", lambda: f"({e()} AND {e()})", lambda: f"({e()} OR {e()})",
         lambda: f"(NOT {e()})", lambda: f"({e()} BETWEEN {e()} AND {e()})", lambda: f"({e()} IN ({e()}, {e()}))", lambda: f"coalesce({e()}, {e()})",
         lambda: f"CASE WHEN {e()} THEN {e()} ELSE {e()} END", lambda: f"CASE {e()} WHEN {e()} THEN {e()} END", lambda: f"abs({e()})", lambda: f"nullif({e()}, {e()})",
-        lambda: f"({e()} | {e()})", lambda: f"({e()} IS NULL)", lambda: f"max({e()}, {e()})", lambda: f"min({e()}, {e()})",
+        lambda: f"({e()} | {e()})", lambda: f"({e()} IS NULL)", lambda: f"min({e()}, {e()})",
     ])()
 
 

@@ -10,11 +10,11 @@ of both sets could still reach it. Sets are compared in two passes:
 2. A set takes over the answers of the highly similar sets that the first pass linked it to: pairs within a group are
    answered. Only pairs across groups are still compared.
 
-In both passes, pairs are verified in rounds, the closest between two groups first, and what is then within a group is
+In both passes, pairs are verified in rounds, the closest of each group first, and what is then within a group is
 answered without.
 
-Before whole sets are verified, a pair must pass by position, by size and by parity bitmaps of 512 bits, whose
-differing bits are a lower bound of the sets' difference.
+Before whole sets are verified, a pair must pass by position, by size and by parity bitmaps of 512 and then of 8192 bits,
+whose differing bits are a lower bound of the sets' difference.
 
 Identical sets are one class from the start.
 """
@@ -33,6 +33,8 @@ from . import common
 #: Slots of the word histogram, whose logarithms are broadcast as a byte each: 256 KB, whatever the corpus.
 SLOTS = 1 << 18
 BITMAP_WORDS = 8
+#: Words of the wide bitmaps, which are made for sets in candidate pairs only.
+WIDE_WORDS = 128
 #: Bits of the filter of ids whose whole sets are read again: 1 MB, whatever the corpus.
 ID_BITS = 1 << 23
 _U = np.uint64
@@ -90,8 +92,9 @@ def _digest(h: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(h.tobytes())
 
 
-def _bitmap(h: np.ndarray) -> np.ndarray:
-    odd = np.bincount(((h >> _U(20)) & _U(64 * BITMAP_WORDS - 1)).astype(np.int64), minlength=64 * BITMAP_WORDS) & 1
+def _bitmap(h: np.ndarray, words: int = BITMAP_WORDS) -> np.ndarray:
+    """Which of the bitmap's bits an odd number of shingles falls on."""
+    odd = np.bincount(((h >> _U(20)) & _U(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -127,7 +130,7 @@ def set_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 
 def _whole_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, whole) for the documents whose id is among ids, and for a few more: a bounded filter picks them."""
+    """(id, whole, wide) for the documents whose id is among ids, and for a few more: a bounded filter picks them."""
     slot = F.pmod(F.xxhash64("id"), F.lit(ID_BITS))
     parts = ids.groupBy(F.floor(slot / 32768).alias("at")).agg(F.bitmap_construct_agg(slot % 32768).alias("bits")).collect()
     bits = np.zeros((ID_BITS // 32768, 4096), dtype=np.uint8)
@@ -140,9 +143,10 @@ def _whole_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
         at = batch.column(2).to_numpy()
         hit = np.flatnonzero((held.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
         texts = common.raw(batch.column(1).take(pa.array(hit)))
-        yield {"id": batch.column(0).take(pa.array(hit)), "whole": pa.array([shingles(word_hashes(t), k)[0].view(np.int64) for t in texts], pa.list_(pa.int64()))}
+        sets = [shingles(word_hashes(t), k)[0] for t in texts]
+        yield {"id": batch.column(0).take(pa.array(hit)), "whole": pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64())), "wide": pa.array([_bitmap(h, WIDE_WORDS) for h in sets], pa.list_(pa.int64()))}
 
-    return common.mapped(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text").select("id", "text", slot.alias("at")), each, "id long, whole array<long>")
+    return common.mapped(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text").select("id", "text", slot.alias("at")), each, "id long, whole array<long>, wide array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -177,8 +181,7 @@ def classes(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, in_one_tas
         marks = named.where("n > 0").select("id", "n", "bitmap")
         for x in "ab":
             pairs = pairs.join(marks.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "bitmap"))), x)
-        pairs = pairs.withColumn("d", _differ("bitmap_a", "bitmap_b"))
-        return pairs.where(F.col("d") <= _apart(F.col("n_a") + F.col("n_b"), num, den)).select("a", "b", "d").distinct()
+        return pairs.where(_differ("bitmap_a", "bitmap_b") <= _apart(F.col("n_a") + F.col("n_b"), num, den)).select("a", "b").distinct()
 
     order = W.Window.partitionBy("token").orderBy("n", "id")
     before = [F.lag(x).over(order).alias(f"{x}0") for x in ("id", "n", "pos")]
@@ -190,7 +193,7 @@ def classes(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, in_one_tas
     wanted = chain.select(F.col("a").alias("id")).union(chain.select("b"))
     whole = common.kept(_whole_sets(docs, wanted, k))
     settled = _Settled(docs.sparkSession, num, den, in_one_task, files)
-    settled.settle(chain, whole, by_member=True)
+    settled.settle(chain, whole)
     groups = settled.groups
 
     across = lists.select("token", "id", "n", "pos").join(groups, "id", "left").withColumn("g", F.coalesce("component", "id"))
@@ -200,7 +203,7 @@ def classes(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, in_one_tas
     x, y = (across.select("token", *(F.col(c).alias(f"{c}{s}") for c in ("id", "n", "g", "bitmap", "pos"))) for s in (1, 2))
     near = may_reach(F.col("n1"), F.col("pos1"), F.col("n2"), F.col("pos2")) & (_differ("bitmap1", "bitmap2") <= _apart(F.col("n1") + F.col("n2"), num, den))
     met = x.join(y, (x.token == y.token) & (F.col("g1") < F.col("g2")) & near)
-    rest = met.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"), _differ("bitmap1", "bitmap2").alias("d")).distinct()
+    rest = met.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
     rest = common.stored(rest, "rest", files)
     settled.settle(rest, _more_sets(docs, rest, whole, k, files))
     groups = settled.groups
@@ -216,25 +219,29 @@ class _Settled:
         self.links: DataFrame | None = None
         self.groups = spark.createDataFrame([], "id long, component long")
 
-    def settle(self, pairs: DataFrame, whole: DataFrame, by_member: bool = False) -> None:
-        """Verify pairs(a, b, d), the closest first, until the rest are all within groups.
+    def settle(self, pairs: DataFrame, whole: DataFrame) -> None:
+        """Verify pairs(a, b), the closest first, until the rest are all within groups.
 
-        A round takes the closest pairs of every two groups, more of them each time; the first round may take each
-        set's closest instead. What links joins groups, which answers most of the pairs that are left.
+        Wide bitmaps leave hardly a pair that is not a link. A round takes the closest pair of every group, later rounds
+        ever more of them. What links joins groups, which answers most of the pairs that are left.
         """
-        most = 1
+        marks = whole.select("id", F.size("whole").alias("n"), "wide")
+        for x in "ab":
+            pairs = pairs.join(marks.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "wide"))), x)
+        differ = F.aggregate(F.zip_with("wide_a", "wide_b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, c: t + c)
+        pairs = pairs.withColumn("d", differ).where(F.col("d") <= _apart(F.col("n_a") + F.col("n_b"), self.num, self.den))
+        pairs, most = common.stored(pairs.select("a", "b", "d").distinct(), "pairs", self.files), 1
         while not pairs.isEmpty():
             for x in "ab":
                 named = self.groups.select(F.col("id").alias(x), F.col("component").alias(f"g{x}"))
                 pairs = pairs.join(named, x, "left").withColumn(f"g{x}", F.coalesce(f"g{x}", x))
-            two = ["b"] if by_member else [F.least("ga", "gb"), F.greatest("ga", "gb")]
-            pairs = pairs.where("ga <> gb").withColumn("r", F.row_number().over(W.Window.partitionBy(*two).orderBy("d", "a", "b")))
+            rank = [F.row_number().over(W.Window.partitionBy(g).orderBy("d", "a", "b")) for g in ("ga", "gb")]
+            pairs = pairs.where("ga <> gb").withColumn("r", F.least(*rank))
             pairs = common.stored(pairs.select("a", "b", "d", "r"), "pairs", self.files)
             found = common.stored(_verified(pairs.where(F.col("r") <= most).select("a", "b"), whole, self.num, self.den), "links", self.files)
             self.links = found if self.links is None else self.links.union(found)
             self.groups = common.components(self.links, self.in_one_task, self.files).withColumnRenamed("node", "id")
-            pairs = pairs.where(F.col("r") > most).select("a", "b", "d")
-            most, by_member = (1, False) if by_member else (8 * most, False)
+            pairs, most = pairs.where(F.col("r") > most).select("a", "b", "d"), 4 * most
 
 
 def _differ(a: str, b: str):

@@ -3,8 +3,8 @@
 A document is its token ids and an end id. What is longer than a sequence is cut into whole sequences, the shorter rest
 first. Pieces then go to sequences by the sum-of-squares rule (Csirik et al., 2006): of all ways to place a piece, into
 an open sequence or a new one, the one after which the squared counts of open sequences per residual gap have the
-smallest sum. A shard's pieces come longest first; those of sequences that are still open at the end are placed once more, by
-best fit, longest first, which fills nearly all of them. Pieces are dealt out to shards of a fixed mean size, each
+smallest sum. A shard's pieces come longest first; those of sequences that are still open at the end, and of as many full ones
+of many pieces, are placed once more, by best fit, longest first, which fills nearly all of them. Pieces are dealt out to shards of a fixed mean size, each
 packed by a task of its own; what a shard loses is a few sequences of its tens of thousands.
 """
 
@@ -80,16 +80,22 @@ def best_fit(lengths: np.ndarray, room: int = ROOM) -> tuple[np.ndarray, np.ndar
 
 
 def fitted(lengths: np.ndarray, room: int = ROOM) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence numbers and offsets: sums of squares, longest first, then best fit for what is in open sequences."""
+    """Sequence numbers and offsets: sums of squares, longest first, then best fit for open sequences and some full ones."""
+    if not len(lengths):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     order = np.argsort(-lengths, kind="stable")
     size = lengths[order]
     seq, offset = place(size, room)
-    filled = np.bincount(seq, weights=size).astype(np.int64)
-    left = np.flatnonzero(filled[seq] < room) if len(seq) else seq
+    filled, pieces = np.bincount(seq, weights=size).astype(np.int64), np.bincount(seq)
+    again = filled < room
+    full = np.flatnonzero(~again)
+    # full sequences of many pieces lend the small ones that gaps need
+    again[full[np.argsort(-pieces[full], kind="stable")][: again.sum()]] = True
+    left = np.flatnonzero(again[seq])
     if len(left):
-        again, at = best_fit(size[left], room)
-        if again.max() < (filled < room).sum():
-            seq[left], offset[left] = again + len(filled), at
+        new, at = best_fit(size[left], room)
+        if new.max() + 1 < again.sum():
+            seq[left], offset[left] = new + len(filled), at
     out = np.empty_like(seq), np.empty_like(offset)
     out[0][order], out[1][order] = np.unique(seq, return_inverse=True)[1], offset
     return out

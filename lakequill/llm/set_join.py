@@ -191,9 +191,9 @@ def classes(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, in_one_tas
     chain = chain.select(F.least("id", "id0").alias("a"), F.greatest("id", "id0").alias("b")).distinct()
     chain = common.stored(close(chain), "chain", files)
     wanted = chain.select(F.col("a").alias("id")).union(chain.select("b"))
-    whole = common.kept(_whole_sets(docs, wanted, k))
+    whole = _by_id(_whole_sets(docs, wanted, k))
     settled = _Settled(docs.sparkSession, num, den, in_one_task, files)
-    settled.settle(chain, whole)
+    settled.settle(chain.select("a", "b", F.col("a").alias("ga"), F.col("b").alias("gb")), whole)
     groups = settled.groups
 
     across = lists.select("token", "id", "n", "pos").join(groups, "id", "left").withColumn("g", F.coalesce("component", "id"))
@@ -203,7 +203,7 @@ def classes(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, in_one_tas
     x, y = (across.select("token", *(F.col(c).alias(f"{c}{s}") for c in ("id", "n", "g", "bitmap", "pos"))) for s in (1, 2))
     near = may_reach(F.col("n1"), F.col("pos1"), F.col("n2"), F.col("pos2")) & (_differ("bitmap1", "bitmap2") <= _apart(F.col("n1") + F.col("n2"), num, den))
     met = x.join(y, (x.token == y.token) & (F.col("g1") < F.col("g2")) & near)
-    rest = met.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
+    rest = met.select(F.col("id1").alias("a"), F.col("id2").alias("b"), F.col("g1").alias("ga"), F.col("g2").alias("gb")).distinct()
     rest = common.stored(rest, "rest", files)
     settled.settle(rest, _more_sets(docs, rest, whole, k, files))
     groups = settled.groups
@@ -220,7 +220,7 @@ class _Settled:
         self.groups = spark.createDataFrame([], "id long, component long")
 
     def settle(self, pairs: DataFrame, whole: DataFrame) -> None:
-        """Verify pairs(a, b), the closest first, until the rest are all within groups.
+        """Verify pairs(a, b, ga, gb), the closest first, until the rest are all within groups; ga and gb are their groups.
 
         Wide bitmaps leave hardly a pair that is not a link. A round takes the closest pair of every group, later rounds
         ever more of them. What links joins groups, which answers most of the pairs that are left.
@@ -230,18 +230,18 @@ class _Settled:
             pairs = pairs.join(marks.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "wide"))), x)
         differ = F.aggregate(F.zip_with("wide_a", "wide_b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, c: t + c)
         pairs = pairs.withColumn("d", differ).where(F.col("d") <= _apart(F.col("n_a") + F.col("n_b"), self.num, self.den))
-        pairs, most = common.stored(pairs.select("a", "b", "d").distinct(), "pairs", self.files), 1
+        pairs, most = common.stored(pairs.select("a", "b", "ga", "gb", "d").distinct(), "pairs", self.files), 1
         while not pairs.isEmpty():
-            for x in "ab":
-                named = self.groups.select(F.col("id").alias(x), F.col("component").alias(f"g{x}"))
-                pairs = pairs.join(named, x, "left").withColumn(f"g{x}", F.coalesce(f"g{x}", x))
+            for x in "ab" if most > 1 else "":
+                named = self.groups.select(F.col("id").alias(x), F.col("component").alias("_g"))
+                pairs = pairs.join(named, x, "left").withColumn(f"g{x}", F.coalesce("_g", x)).drop("_g")
             rank = [F.row_number().over(W.Window.partitionBy(g).orderBy("d", "a", "b")) for g in ("ga", "gb")]
             pairs = pairs.where("ga <> gb").withColumn("r", F.least(*rank))
-            pairs = common.stored(pairs.select("a", "b", "d", "r"), "pairs", self.files)
+            pairs = common.stored(pairs.select("a", "b", "ga", "gb", "d", "r"), "pairs", self.files)
             found = common.stored(_verified(pairs.where(F.col("r") <= most).select("a", "b"), whole, self.num, self.den), "links", self.files)
             self.links = found if self.links is None else self.links.union(found)
             self.groups = common.components(self.links, self.in_one_task, self.files).withColumnRenamed("node", "id")
-            pairs, most = pairs.where(F.col("r") > most).select("a", "b", "d"), 4 * most
+            pairs, most = pairs.where(F.col("r") > most).select("a", "b", "ga", "gb", "d"), 4 * most
 
 
 def _differ(a: str, b: str):
@@ -259,7 +259,12 @@ def _more_sets(docs: DataFrame, pairs: DataFrame, whole: DataFrame, k: int, file
     need = common.stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(whole, "id", "left_anti"), "need", files)
     if need.isEmpty():
         return whole
-    return whole.union(_whole_sets(docs, need, k).join(need, "id", "left_semi"))
+    return _by_id(whole.union(_whole_sets(docs, need, k).join(need, "id", "left_semi")))
+
+
+def _by_id(sets: DataFrame) -> DataFrame:
+    """Sets dealt out by id, so that the joins of all rounds find them where they are."""
+    return common.kept(sets.repartition(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id"))
 
 
 def deduplicated(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:

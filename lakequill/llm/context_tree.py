@@ -157,6 +157,8 @@ class Tree:
         if len(keys):
             for bit in range(8):
                 self._weigh(bit, levels, maps)
+        else:
+            self.shares = [[np.zeros(0, np.float32)] * 8 for _ in range(DEPTH)]
         self.log10 = self.log10.astype(np.float32)
 
     def _weigh(self, bit: int, levels: list[np.ndarray], maps: list[np.ndarray]) -> None:

@@ -11,7 +11,7 @@ def plain(vectors, least=0.95):
     for a in range(len(vectors)):
         for b in range(a):
             if ok[a] and ok[b] and len(vectors[a]) == len(vectors[b]):
-                x, y = np.array(vectors[a], float), np.array(vectors[b], float)
+                x, y = (np.array(v, float) / np.abs(v).max() for v in (vectors[a], vectors[b]))
                 if x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= least:
                     links[a] += 1
                     links[b] += 1

@@ -169,7 +169,10 @@ def classes(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, in_one_tas
     sets = common.kept(set_rows(docs, k, num, den))
     kinds = common.kept(sets.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")))
     named = sets.withColumnRenamed("doc_id", "id")
-    lists = named.join(kinds, ["id", "fp"], "left_semi").select("id", "n", F.posexplode("prefix").alias("pos", "token"))
+    # of identical sets one stays, so most sets do; the others are few enough to be sent to the sets, or joined if not
+    copies = common.kept(sets.where("doc_id is not null").select("doc_id", "fp").join(kinds, "fp").where("doc_id <> id").select(F.col("doc_id").alias("id"), "fp"))
+    single = named.where("n > 0 and id is not null").join(F.broadcast(copies) if copies.count() <= in_one_task else copies, ["id", "fp"], "left_anti")
+    lists = single.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
 
     def may_reach(n1, p1, n2, p2):
         """Sizes within the threshold, and enough of both sets left from a common shingle on."""
@@ -205,7 +208,12 @@ def classes(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, in_one_tas
     met = x.join(y, (x.token == y.token) & (F.col("g1") < F.col("g2")) & near)
     rest = met.select(F.col("id1").alias("a"), F.col("id2").alias("b"), F.col("g1").alias("ga"), F.col("g2").alias("gb")).distinct()
     rest = common.stored(rest, "rest", files)
-    settled.settle(rest, _more_sets(docs, rest, whole, k, files))
+    across.unpersist()
+    lists.unpersist()
+    every_set = _more_sets(docs, rest, whole, k, files)
+    settled.settle(rest, every_set)
+    whole.unpersist()
+    every_set.unpersist()
     groups = settled.groups
     out = kinds.join(groups, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return sets.select("doc_id", F.col("n").alias("n_shingles"), "fp").join(out, "fp", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
@@ -219,6 +227,10 @@ class _Settled:
         self.links: DataFrame | None = None
         self.groups = spark.createDataFrame([], "id long, component long")
 
+    def _sent(self, groups: DataFrame) -> DataFrame:
+        """Groups to join with: broadcast while they have few members, two numbers each."""
+        return F.broadcast(groups) if groups.count() <= self.in_one_task else groups
+
     def settle(self, pairs: DataFrame, whole: DataFrame) -> None:
         """Verify pairs(a, b, ga, gb), the closest first, until the rest are all within groups; ga and gb are their groups.
 
@@ -240,7 +252,7 @@ class _Settled:
             pairs = common.stored(pairs.select("a", "b", "ga", "gb", "d", "r"), "pairs", self.files)
             found = common.stored(_verified(pairs.where(F.col("r") <= most).select("a", "b"), whole, self.num, self.den), "links", self.files)
             self.links = found if self.links is None else self.links.union(found)
-            self.groups = common.components(self.links, self.in_one_task, self.files).withColumnRenamed("node", "id")
+            self.groups = self._sent(common.components(self.links, self.in_one_task, self.files).withColumnRenamed("node", "id"))
             pairs, most = pairs.where(F.col("r") > most).select("a", "b", "ga", "gb", "d"), 4 * most
 
 

@@ -53,7 +53,7 @@ class Shell:
         if name in (".quit", ".exit"):
             return False
         if name == ".tables":
-            self.out("  ".join(sorted([t.name for t in s.catalog.tables.values()] + list(s.attached))))
+            self.out("  ".join(sorted([t.name for t in s.catalog.tables.values()] + s.foreign())))
         elif name == ".schema":
             for x in [*s.catalog.tables.values(), *s.catalog.indexes.values()]:
                 if not args or args[0].lower() in (x.name.lower(), getattr(x, "table", "").lower()):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +37,7 @@ class Session:
         self.root = root or f"{shared_root(spark)}/database-{uuid.uuid4().hex}"
         self.catalog = Catalog(spark, self.root)
         self.attached: dict[str, Named] = {}
+        self.waiting: dict[str, Callable[[], DataFrame]] = {}
         self.id = uuid.uuid4().hex[:8]
         self.last_rowid = self.last_changes = self.total_changes = 0
         spark.conf.set("spark.sql.cteRecursionLevelLimit", str(RECURSION))
@@ -49,6 +51,14 @@ class Session:
         df.createOrReplaceTempView(view)
         self.attached[name.lower()] = Named(quoted(view), [(f.name, fn.of_spark(f.dataType.simpleString())) for f in df.schema.fields])
 
+    def attach_lazily(self, name: str, load: Callable[[], DataFrame]) -> None:
+        """As attach(), but loaded when a query first names the table."""
+        self.waiting[name.lower()] = load
+
+    def foreign(self) -> list[str]:
+        """Names of attached tables."""
+        return sorted({*self.attached, *self.waiting})
+
     def resolve(self, name: str) -> Named | None:
         if (t := self.catalog.tables.get(name)) is not None:
             view = f"lq_{self.id}_{name}_{(t.version or 'empty').rsplit('/', 1)[-1]}_{len(t.columns)}"
@@ -59,6 +69,8 @@ class Session:
             view = f"lq_{self.id}_schema"
             self.spark.createDataFrame(rows, "type string, name string, tbl_name string, sql string").createOrReplaceTempView(view)
             return Named(quoted(view), [(c, fn.TEXT) for c in ("type", "name", "tbl_name", "sql")])
+        if name in self.waiting:
+            self.attach(name, self.waiting.pop(name)())
         return self.attached.get(name)
 
     def _translator(self, params: tuple = ()) -> Translator:

@@ -15,5 +15,5 @@ def attached(spark: SparkSession, folder: str, names: tuple[str, ...] = TABLES,
     session = Session(spark, root)
     reader = spark.read.options(**options)
     for name in names:
-        session.attach(name, reader.format(form).load(f"{folder}/{name}.{form}"))
+        session.attach_lazily(name, lambda name=name: reader.format(form).load(f"{folder}/{name}.{form}"))
     return session

@@ -249,3 +249,18 @@ def near_vectors(df: DataFrame, least: float = 0.95, in_one_task: int = common.L
     own = F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id"))
     out = raw.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("kind")).alias("kind")).join(done, "kind", "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.col("vec_id").eqNullSafe(own).alias("kept"))
+
+
+#: The rows of near_vectors() with its defaults, in DuckDB's SQL: every pair compared, and a closure over links.
+ORACLE = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0 AND len([x for x in embedding if x <> 0]) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id < b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+counts AS (SELECT a, count(*) AS n FROM ways GROUP BY a),
+reached AS (SELECT DISTINCT a AS node, a AS root FROM ways UNION SELECT w.b, r.root FROM reached r JOIN ways w ON w.a = r.node),
+roots AS (SELECT node, min(root) AS root FROM reached GROUP BY node)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(root, vec_id) AS component_id, coalesce(root, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN counts ON counts.a = vec_id LEFT JOIN roots ON roots.node = vec_id
+"""

@@ -56,4 +56,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing_sources": mixing.ORACLE, "op6_license_scan": licenses.oracle()}
+    return {"op2_embedding_near_dedup": cross_polytope.ORACLE, "op3_ngram_jaccard_join": set_join.ORACLE, "op4_mixing_sources": mixing.ORACLE, "op6_license_scan": licenses.oracle()}

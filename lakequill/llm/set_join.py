@@ -202,13 +202,18 @@ def classes(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, in_one_tas
     across = lists.select("token", "id", "n", "pos").join(groups, "id", "left").withColumn("g", F.coalesce("component", "id"))
     every = W.Window.partitionBy("token")
     across = across.select("token", "id", "n", "pos", "g", F.min("g").over(every).alias("g1"), F.max("g").over(every).alias("g2")).where("g1 <> g2")
-    across = common.kept(across.select("token", "id", "n", "pos", "g").join(named.where("n > 0").select("id", "bitmap"), "id"))
+    across = common.kept(across.select("token", "id", "n", "pos", "g"))
+    # entries stay where the window put them, by token, if the bitmaps of their sets are few enough to be sent there;
+    # if not, a shuffle brings them together again, whose large partitions can be split
+    ids, marks = common.kept(across.select("id").distinct()), named.where("n > 0").select("id", "bitmap")
+    if ids.count() <= in_one_task // 4:
+        marks = F.broadcast(marks.join(F.broadcast(ids), "id", "left_semi"))
+    across = across.join(marks, "id")
     x, y = (across.select("token", *(F.col(c).alias(f"{c}{s}") for c in ("id", "n", "g", "bitmap", "pos"))) for s in (1, 2))
     near = may_reach(F.col("n1"), F.col("pos1"), F.col("n2"), F.col("pos2")) & (_differ("bitmap1", "bitmap2") <= _apart(F.col("n1") + F.col("n2"), num, den))
     met = x.join(y, (x.token == y.token) & (F.col("g1") < F.col("g2")) & near)
     rest = met.select(F.col("id1").alias("a"), F.col("id2").alias("b"), F.col("g1").alias("ga"), F.col("g2").alias("gb")).distinct()
     rest = common.stored(rest, "rest", files)
-    across.unpersist()
     lists.unpersist()
     every_set = _more_sets(docs, rest, whole, k, files)
     settled.settle(rest, every_set)

@@ -13,7 +13,7 @@ of both sets could still reach it. Sets are compared in two passes:
 In both passes, pairs are verified in rounds, the closest of each group first, and what is then within a group is
 answered without.
 
-Before whole sets are verified, a pair must pass by position, by size and by parity bitmaps of 512 and then of 8192 bits,
+Before whole sets are verified, a pair must pass by position, by size and by parity bitmaps of 512 and then of 2048 bits,
 whose differing bits are a lower bound of the sets' difference.
 
 Identical sets are one class from the start.
@@ -34,7 +34,7 @@ from . import common
 SLOTS = 1 << 18
 BITMAP_WORDS = 8
 #: Words of the wide bitmaps, which are made for sets in candidate pairs only.
-WIDE_WORDS = 128
+WIDE_WORDS = 32
 #: Bits of the filter of ids whose whole sets are read again: 1 MB, whatever the corpus.
 ID_BITS = 1 << 23
 _U = np.uint64
@@ -179,9 +179,15 @@ def classes(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, in_one_tas
         need = F.ceil((n1 + n2) * F.lit(num) / F.lit(num + den))
         return (F.least(n1, n2) * den >= F.greatest(n1, n2) * num) & (F.least(n1 - p1, n2 - p2) >= need)
 
+    def marked(ids):
+        """Sizes and bitmaps of the sets of ids; sent to the other side of a join if they are few."""
+        ids, marks = common.kept(ids), named.where("n > 0").select("id", "n", "bitmap")
+        return F.broadcast(marks.join(F.broadcast(ids), "id", "left_semi")) if ids.count() <= in_one_task else marks
+
     def close(pairs):
         """Pairs whose bitmaps allow the threshold."""
-        marks = named.where("n > 0").select("id", "n", "bitmap")
+        pairs = common.kept(pairs)
+        marks = marked(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
         for x in "ab":
             pairs = pairs.join(marks.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "bitmap"))), x)
         return pairs.where(_differ("bitmap_a", "bitmap_b") <= _apart(F.col("n_a") + F.col("n_b"), num, den)).select("a", "b").distinct()
@@ -205,10 +211,7 @@ def classes(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, in_one_tas
     across = common.kept(across.select("token", "id", "n", "pos", "g"))
     # entries stay where the window put them, by token, if the bitmaps of their sets are few enough to be sent there;
     # if not, a shuffle brings them together again, whose large partitions can be split
-    ids, marks = common.kept(across.select("id").distinct()), named.where("n > 0").select("id", "bitmap")
-    if ids.count() <= in_one_task // 4:
-        marks = F.broadcast(marks.join(F.broadcast(ids), "id", "left_semi"))
-    across = across.join(marks, "id")
+    across = across.join(marked(across.select("id").distinct()).drop("n"), "id")
     x, y = (across.select("token", *(F.col(c).alias(f"{c}{s}") for c in ("id", "n", "g", "bitmap", "pos"))) for s in (1, 2))
     near = may_reach(F.col("n1"), F.col("pos1"), F.col("n2"), F.col("pos2")) & (_differ("bitmap1", "bitmap2") <= _apart(F.col("n1") + F.col("n2"), num, den))
     met = x.join(y, (x.token == y.token) & (F.col("g1") < F.col("g2")) & near)

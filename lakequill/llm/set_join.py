@@ -246,6 +246,8 @@ class _Settled:
         ever more of them. What links joins groups, which answers most of the pairs that are left.
         """
         marks = whole.select("id", F.size("whole").alias("n"), "wide")
+        if whole.count() <= self.in_one_task // 4:
+            marks = F.broadcast(marks)
         for x in "ab":
             pairs = pairs.join(marks.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "wide"))), x)
         differ = F.aggregate(F.zip_with("wide_a", "wide_b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, c: t + c)

@@ -38,8 +38,12 @@ _BAD = re.compile(
 )
 _GOOD = re.compile(r"(?:^|[\s_-])(?:article\w*|content|post|entry|main|story|text|body|prose)(?:$|[\s_-])")
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(>|$)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: An attribute, as HTML's tokenizer takes it: quotes open a value only right after "=", and are ordinary characters elsewhere.
+_NAME = r"[^\s/>][^\s/>=]*"
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)"
+    rf"((?:[\s/]+|{_NAME}(?:\s*=\s*(?:\"[^\"]*(?:\"|$)|'[^']*(?:'|$)|[^\s>\"'][^\s>]*)?)?)*+)(>|$)", re.S)
+_ATTRIBUTE = re.compile(rf"({_NAME})(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>\"'][^\s>]*))?)?")
 _BLANK = re.compile(r"\s+")
 _ENDS = {t: re.compile(f"</{t}", re.I) for t in RAW}
 

@@ -164,7 +164,8 @@ class Encoder:
             if not raw:
                 continue
             text = raw.decode("utf-8", "replace")
-            if _blanks_meet(raw, text):
+            # a word that begins with NUL would be taken for a mark of its own
+            if b"\0" in raw or _blanks_meet(raw, text):
                 whole.append((i, text))
                 continue
             sign = "\r"

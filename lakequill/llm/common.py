@@ -45,9 +45,25 @@ def stored(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def few(df: DataFrame) -> int:
-    """Files for results much smaller than their input: a sixteenth of the input's partitions."""
-    return max(1, df.rdd.getNumPartitions() // 16)
+#: Rows of a few numbers that one file of a small result takes.
+ROWS_A_FILE = 200_000
+
+
+def compact(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """stored(), in as many files as its rows of a few numbers need, and the number of rows."""
+    made = kept(df)
+    n = made.count()
+    out = stored(made, name, 1 + n // ROWS_A_FILE)
+    made.unpersist()
+    return out, n
+
+
+def fresh(name: str, df: DataFrame) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -141,15 +157,15 @@ def _contract(it):
 LINKS_IN_ONE_TASK = 200_000
 
 
-def components(links: DataFrame, in_one_task: int = LINKS_IN_ONE_TASK, files: int | None = None) -> DataFrame:
+def components(links: DataFrame, in_one_task: int = LINKS_IN_ONE_TASK) -> DataFrame:
     """(node, component) for every node with a link; component is the smallest node that links reach.
 
     Links (a, b) are contracted to stars partition by partition. A remainder of at most ``in_one_task`` links is
     joined in one task; a larger one goes through alternating large and small stars (Kiveris et al., 2014), each
     round written to the shared folder, so that neither the driver nor a task ever holds all of it.
     """
-    edges = stored(links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInArrow(_contract, "a long, b long"), "links", files)
-    if edges.count() <= in_one_task:
+    edges, n = compact(links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInArrow(_contract, "a long, b long"), "links")
+    if n <= in_one_task:
         return stored(edges.repartition(1).mapInArrow(_contract, "a long, b long").select(F.col("a").alias("node"), F.col("b").alias("component")), "components").transform(_with_roots)
     before = None
     while True:

@@ -240,10 +240,9 @@ def near_vectors(df: DataFrame, least: float = 0.95, in_one_task: int = common.L
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "id", "m", "v")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    files = common.few(df)
-    found = common.stored(_compared(rows, bits, least), "links", files)
+    found, _ = common.compact(_compared(rows, bits, least), "links")
     links = found.where("other is null").groupBy("id").agg(F.sum("n").alias("found"))
-    groups = common.components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")), in_one_task, files)
+    groups = common.components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")), in_one_task)
     done = kinds.select("kind", "id", "m").join(links, "id", "left").join(groups.withColumnRenamed("node", "id"), "id", "left")
     done = done.select("kind", (F.coalesce("found", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     own = F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id"))

@@ -1,22 +1,21 @@
 """N-gram Jaccard self-join with skipping by set relations.
 
-Words are ranked by how often the corpus has them, and a document's shingles by the ranks of their words, rarest
-first. Two sets that reach the threshold then share one of a few first shingles, so only these go into index lists.
-Entries carry the set's size and the shingle's position, which bound the overlap: a pair is skipped unless the rest
-of both sets could still reach it. Sets are compared in two passes:
-
-1. Each list is ordered by set size, and an entry is compared with its predecessor only. As the order is the same in
-   all lists, a group of similar sets gives about one pair for each member.
-2. A set takes over the answers of the highly similar sets that the first pass linked it to: pairs within a group are
-   answered. Only pairs across groups are still compared.
-
-In both passes, pairs are verified in rounds, the closest of each group first, and what is then within a group is
-answered without.
-
-Before whole sets are verified, a pair must pass by position, by size and by parity bitmaps of 512 and then of 2048 bits,
-whose differing bits are a lower bound of the sets' difference.
-
-Identical sets are one class from the start.
+A document's shingles are ranked by how rare their word pairs and words are in the corpus, rarest first. Two sets that
+reach the threshold share one of a few first shingles, so only these go into index lists. Entries carry the set's size
+and the shingle's position, which bound the overlap that the rest of both sets could still reach.
+
+Skipping in lists: a list is ordered by size and cut into blocks, each with the bounds of its sizes, of what is left
+from its positions on, and of its groups. A block is compared with those blocks only whose bounds let a pair through.
+
+Skipping by answers: in the first round every set is compared with one leader of its lists, the same for most sets
+alike. What a set shares with its leader is an answer from which its relation to the leader's other answers derives:
+two sets that share x and y shingles with a leader share at most x and what the other has outside the leader, so most
+such pairs are not compared. Sets found similar are a group, whose members' pairs are answered and never formed. Later
+rounds compare each set with its nearest neighbour of another group in its lists, one pair for each set, until hardly
+any link is found; then all pairs across groups that are left are listed, in blocks, and verified, closest first.
+
+Before whole sets are verified, a pair must pass by parity bitmaps of 512 bits, whose differing bits are a lower bound
+of the sets' difference. Identical sets are one class from the start.
 """
 
 from __future__ import annotations
@@ -24,19 +23,20 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from . import common
 
-#: Slots of the word histogram, whose logarithms are broadcast as a byte each: 256 KB, whatever the corpus.
-SLOTS = 1 << 18
+#: Slots of the histograms of words and of word pairs, whose logarithms are broadcast as a byte each: 1.25 MB, whatever the corpus.
+WORD_SLOTS, PAIR_SLOTS, _CHUNK = 1 << 18, 1 << 20, 1 << 16
 BITMAP_WORDS = 8
-#: Words of the wide bitmaps, which are made for sets in candidate pairs only.
-WIDE_WORDS = 32
-#: Bits of the filter of ids whose whole sets are read again: 1 MB, whatever the corpus.
+#: Bits of the filter of ids whose whole sets are read: 1 MB, whatever the corpus.
 ID_BITS = 1 << 23
+#: Entries of a list that are compared with each other at once, and those whose bounds are taken together.
+SEGMENT, BLOCK = 4096, 16
 _U = np.uint64
 _MIX = (_U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB))
 
@@ -52,218 +52,252 @@ def word_hashes(text: bytes | None) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
-def shingles(words: np.ndarray, k: int, costs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Sorted distinct hashes of k-word shingles (of all words where they are fewer), and the summed costs of their words."""
-    if not len(words):
-        return words, costs
-    k = min(k, len(words))
-    n = len(words) - k + 1
+def grams(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k words."""
+    n = max(0, len(words) - k + 1)
     with np.errstate(over="ignore"):
         h = np.full(n, _U(k))
         for i in range(k):
             h = _mix(h * _MIX[0] + words[i : n + i])
-    if costs is None:
-        return np.unique(h), None
-    total = np.convolve(costs, np.ones(k, dtype=np.int64), "valid")
-    h, first = np.unique(h, return_index=True)
-    return h, total[first]
+    return h
+
+
+def shingles(words: np.ndarray, k: int) -> np.ndarray:
+    """Sorted distinct hashes of k-word shingles, of all words where they are fewer."""
+    return np.unique(grams(words, min(k, len(words)))) if len(words) else words
+
+
+def _places(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of words and of pairs of words."""
+    return (words & _U(WORD_SLOTS - 1)).astype(np.int64), (grams(words, 2) & _U(PAIR_SLOTS - 1)).astype(np.int64)
 
 
 def _histogram(it):
-    seen = np.zeros(SLOTS, dtype=np.int64)
+    seen = [np.zeros(s, dtype=np.int64) for s in (WORD_SLOTS, PAIR_SLOTS)]
+    for batch in it:
+        at = [_places(word_hashes(t)) for t in common.raw(batch.column(0)) if t]
+        for s, places in zip(seen, zip(*at, strict=True), strict=False):
+            s += np.bincount(np.concatenate(places), minlength=len(s))
+    z = zstandard.ZstdCompressor(level=1)
+    parts = np.concatenate(seen).reshape(-1, _CHUNK)
+    some = np.flatnonzero(parts.any(axis=1))
+    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([z.compress(parts[i].tobytes()) for i in some], pa.binary())], names=["part", "counts"])
+
+
+def _summed(it):
+    sums: dict[int, np.ndarray] = {}
+    z = zstandard.ZstdDecompressor()
     for batch in it:
-        for text in common.raw(batch.column(0)):
-            h = word_hashes(text)
-            if len(h):
-                np.add.at(seen, (h & _U(SLOTS - 1)).astype(np.int64), 1)
-    at = np.flatnonzero(seen)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], names=["slot", "n"])
+        for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            sums[part] = sums.get(part, 0) + np.frombuffer(z.decompress(counts), dtype=np.int64)
+    logs = [np.clip(np.round(8 * np.log2(1 + s)), 0, 255).astype(np.uint8).tobytes() for s in sums.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(logs, pa.binary())], names=["part", "counts"])
 
 
-def word_costs(docs: DataFrame) -> np.ndarray:
-    """For each slot of the histogram, 8 times the binary logarithm of the words counted there."""
-    counts = docs.select("text").mapInArrow(_histogram, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(SLOTS, dtype=np.uint8)
-    out[counts["slot"].to_numpy()] = np.clip(np.round(8 * np.log2(1 + counts["n"].to_numpy())), 0, 255).astype(np.uint8)
-    return out
+def rarity(docs: DataFrame) -> np.ndarray:
+    """For each slot of words, then of pairs, 8 times the binary logarithm of what was counted there."""
+    counts = docs.select("text").mapInArrow(_histogram, "part int, counts binary")
+    out = np.zeros((WORD_SLOTS + PAIR_SLOTS) // _CHUNK * _CHUNK, dtype=np.uint8).reshape(-1, _CHUNK)
+    for part, logs in counts.repartition(len(out), "part").mapInArrow(_summed, "part int, counts binary").collect():
+        out[part] = np.frombuffer(bytes(logs), dtype=np.uint8)
+    return out.ravel()
 
 
-def _digest(h: np.ndarray) -> bytes:
-    return xxhash.xxh3_128_digest(h.tobytes())
+def _costs(words: np.ndarray, k: int, logs: np.ndarray) -> np.ndarray:
+    """A number for each run of k words that only they decide: by their rarest pair, then by all words."""
+    one, two = _places(words)
+    n = len(words) - k + 1
+    total = np.convolve(logs[one].astype(np.int64), np.ones(k, dtype=np.int64), "valid")
+    if k > 1:
+        pairs = logs[WORD_SLOTS + two].astype(np.int64)
+        least = pairs[:n]
+        for i in range(1, k - 1):
+            least = np.minimum(least, pairs[i : n + i])
+        total += least << 16
+    return total
 
 
-def _bitmap(h: np.ndarray, words: int = BITMAP_WORDS) -> np.ndarray:
+def _bitmap(h: np.ndarray) -> np.ndarray:
     """Which of the bitmap's bits an odd number of shingles falls on."""
-    odd = np.bincount(((h >> _U(20)) & _U(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    odd = np.bincount(((h >> _U(20)) & _U(64 * BITMAP_WORDS - 1)).astype(np.int64), minlength=64 * BITMAP_WORDS) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def set_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """A row for each document: doc_id, n (size of its set), fp (digest of the set), bitmap, prefix (its first shingles)."""
-    costs = docs.sparkSession.sparkContext.broadcast(word_costs(docs))
+    logs = docs.sparkSession.sparkContext.broadcast(rarity(docs))
 
     def each(batch: pa.RecordBatch):
         sizes, digests, bitmaps, prefixes = [], [], [], []
         for text in common.raw(batch.column(1)):
             words = word_hashes(text)
-            h, total = shingles(words, k, costs.value[(words & _U(SLOTS - 1)).astype(np.int64)].astype(np.int64))
-            n = len(h)
-            sizes.append(n)
-            digests.append(_digest(h) if n else None)
-            if not n:
+            if not len(words):
+                sizes.append(0)
+                digests.append(None)
                 bitmaps.append(None)
                 prefixes.append(None)
                 continue
+            some = min(k, len(words))
+            h, first = np.unique(grams(words, some), return_index=True)
+            total = _costs(words, some, logs.value)[first]
+            n = len(h)
+            sizes.append(n)
+            digests.append(xxhash.xxh3_128_digest(h.tobytes()))
             bitmaps.append(_bitmap(h))
             most = n - (num * n + den - 1) // den + 1
-            # the total order: summed costs, then a hash
+            # the total order: costs, then the hash
+            few = np.arange(n)
             if most < n:
-                cut = np.partition(total, most - 1)[most - 1]
-                few = np.flatnonzero(total <= cut)
-                few = few[np.lexsort((h[few], total[few]))][:most]
-            else:
-                few = np.lexsort((h, total))
-            prefixes.append(h[few].view(np.int64))
-        yield {"doc_id": batch.column(0), "n": pa.array(sizes, pa.int64()), "fp": pa.array(digests, pa.binary()), "bitmap": pa.array(bitmaps, pa.list_(pa.int64())), "prefix": pa.array(prefixes, pa.list_(pa.int64()))}
+                few = np.flatnonzero(total <= np.partition(total, most - 1)[most - 1])
+            prefixes.append(h[few[np.lexsort((h[few], total[few]))][:most]].view(np.int64))
+        yield {"doc_id": batch.column(0), "n": pa.array(sizes, pa.int32()), "fp": pa.array(digests, pa.binary()), "bitmap": pa.array(bitmaps, pa.list_(pa.int64())), "prefix": pa.array(prefixes, pa.list_(pa.int64()))}
+
+    return common.mapped(docs.select(F.col("doc_id").cast("long"), "text"), each, "doc_id long, n int, fp binary, bitmap array<long>, prefix array<long>")
 
-    return common.mapped(docs.select(F.col("doc_id").cast("long"), "text"), each, "doc_id long, n long, fp binary, bitmap array<long>, prefix array<long>")
 
+def _whole_sets(docs: DataFrame, ids: DataFrame, k: int, in_one_task: int) -> DataFrame:
+    """(id, whole) for the documents whose id is among ids: sent to the scan if few; if not, a bounded filter picks a few more."""
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
 
-def _whole_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, whole, wide) for the documents whose id is among ids, and for a few more: a bounded filter picks them."""
+    def hashed(batch: pa.RecordBatch):
+        yield {"id": batch.column(0), "whole": pa.array([shingles(word_hashes(t), k).view(np.int64) for t in common.raw(batch.column(1))], pa.list_(pa.int64()))}
+
+    if ids.count() <= in_one_task:
+        return common.mapped(rows.join(F.broadcast(ids), "id", "left_semi"), hashed, "id long, whole array<long>")
     slot = F.pmod(F.xxhash64("id"), F.lit(ID_BITS))
     parts = ids.groupBy(F.floor(slot / 32768).alias("at")).agg(F.bitmap_construct_agg(slot % 32768).alias("bits")).collect()
     bits = np.zeros((ID_BITS // 32768, 4096), dtype=np.uint8)
     for at, part in parts:
         bits[at] = np.frombuffer(bytes(part), dtype=np.uint8)
-    bits = bits.ravel()
-    held = docs.sparkSession.sparkContext.broadcast(bits)
+    held = docs.sparkSession.sparkContext.broadcast(bits.ravel())
 
     def each(batch: pa.RecordBatch):
         at = batch.column(2).to_numpy()
         hit = np.flatnonzero((held.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
-        texts = common.raw(batch.column(1).take(pa.array(hit)))
-        sets = [shingles(word_hashes(t), k)[0] for t in texts]
-        yield {"id": batch.column(0).take(pa.array(hit)), "whole": pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64())), "wide": pa.array([_bitmap(h, WIDE_WORDS) for h in sets], pa.list_(pa.int64()))}
+        yield from hashed(pa.RecordBatch.from_arrays([c.take(pa.array(hit)) for c in batch.columns[:2]], names=["id", "text"]))
 
-    return common.mapped(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text").select("id", "text", slot.alias("at")), each, "id long, whole array<long>, wide array<long>")
+    return common.mapped(rows.select("id", "text", slot.alias("at")), each, "id long, whole array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    left, right = (sets.select(F.col("id").alias(x), F.col("whole").alias(f"whole_{x}")) for x in "ab")
-    both = F.size(F.array_intersect("whole_a", "whole_b"))
-    union = F.size("whole_a") + F.size("whole_b") - both
-    return pairs.join(left, "a").join(right, "b").where(both * F.lit(den) >= union * F.lit(num)).select("a", "b").distinct()
+def _reach(n1, p1, n2, p2, num: int, den: int):
+    """For arrays: sizes within the threshold, and enough of both sets left from a common shingle on."""
+    need = -((n1 + n2) * -num // (num + den))
+    return (np.minimum(n1, n2) * den >= np.maximum(n1, n2) * num) & (np.minimum(n1 - p1, n2 - p2) >= need)
 
 
-def classes(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, in_one_task: int = common.LINKS_IN_ONE_TASK) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs(doc_id, text): the join's classes.
+def _derived(i, j, n, leader, shared, num: int, den: int):
+    """Pairs of rows that answers derived from a common leader do not rule out."""
+    most = np.minimum(shared[i] + n[j] - shared[j], shared[j] + n[i] - shared[i])
+    return (leader[i] != leader[j]) | (shared[i] < 0) | (shared[j] < 0) | (most >= -((n[i] + n[j]) * -num // (num + den)))
 
-    Two documents link when the Jaccard similarity of their k-word shingle sets is at least num/den, compared in
-    integers. component_id is the smallest doc_id that links reach. Null and blank texts have the size 0 and link with
-    nothing, as do rows without an id, whose component_id is null. Rows with equal texts, also with equal ids, are one
-    class. Other columns of docs are not looked at.
-    """
-    docs = docs.select("doc_id", "text")
-    files = common.few(docs)
-    sets = common.kept(set_rows(docs, k, num, den))
-    kinds = common.kept(sets.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")))
-    named = sets.withColumnRenamed("doc_id", "id")
-    # of identical sets one stays, so most sets do; the others are few enough to be sent to the sets, or joined if not
-    copies = common.kept(sets.where("doc_id is not null").select("doc_id", "fp").join(kinds, "fp").where("doc_id <> id").select(F.col("doc_id").alias("id"), "fp"))
-    single = named.where("n > 0 and id is not null").join(F.broadcast(copies) if copies.count() <= in_one_task else copies, ["id", "fp"], "left_anti")
-    lists = single.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
 
-    def may_reach(n1, p1, n2, p2):
-        """Sizes within the threshold, and enough of both sets left from a common shingle on."""
-        need = F.ceil((n1 + n2) * F.lit(num) / F.lit(num + den))
-        return (F.least(n1, n2) * den >= F.greatest(n1, n2) * num) & (F.least(n1 - p1, n2 - p2) >= need)
+def _counted(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Distinct pairs and how often each came."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    key, c = np.unique(at[: len(a)] * len(ids) + at[len(a) :], return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(ids[key // max(1, len(ids))]), pa.array(ids[key % max(1, len(ids))]), pa.array(c.astype(np.int64))], names=["a", "b", "c"])
 
-    def marked(ids):
-        """Sizes and bitmaps of the sets of ids; sent to the other side of a join if they are few."""
-        ids, marks = common.kept(ids), named.where("n > 0").select("id", "n", "bitmap")
-        return F.broadcast(marks.join(F.broadcast(ids), "id", "left_semi")) if ids.count() <= in_one_task else marks
 
-    def close(pairs):
-        """Pairs whose bitmaps allow the threshold."""
-        pairs = common.kept(pairs)
-        marks = marked(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-        for x in "ab":
-            pairs = pairs.join(marks.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "bitmap"))), x)
-        return pairs.where(_differ("bitmap_a", "bitmap_b") <= _apart(F.col("n_a") + F.col("n_b"), num, den)).select("a", "b").distinct()
+_ENTRY = ("token", "id", "n", "pos", "g", "leader", "shared")
 
-    order = W.Window.partitionBy("token").orderBy("n", "id")
-    before = [F.lag(x).over(order).alias(f"{x}0") for x in ("id", "n", "pos")]
-    lists = lists.select("token", "id", "n", "pos", *before, F.lead("id").over(order).alias("next")).where("id0 is not null or next is not null").drop("next")
-    lists = common.kept(lists)
-    chain = lists.where("id0 <> id").where(may_reach(F.col("n"), F.col("pos"), F.col("n0"), F.col("pos0")))
-    chain = chain.select(F.least("id", "id0").alias("a"), F.greatest("id", "id0").alias("b")).distinct()
-    chain = common.stored(close(chain), "chain", files)
-    wanted = chain.select(F.col("a").alias("id")).union(chain.select("b"))
-    whole = _by_id(_whole_sets(docs, wanted, k))
-    settled = _Settled(docs.sparkSession, num, den, in_one_task, files)
-    settled.settle(chain.select("a", "b", F.col("a").alias("ga"), F.col("b").alias("gb")), whole)
-    groups = settled.groups
-
-    across = lists.select("token", "id", "n", "pos").join(groups, "id", "left").withColumn("g", F.coalesce("component", "id"))
-    every = W.Window.partitionBy("token")
-    across = across.select("token", "id", "n", "pos", "g", F.min("g").over(every).alias("g1"), F.max("g").over(every).alias("g2")).where("g1 <> g2")
-    across = common.kept(across.select("token", "id", "n", "pos", "g"))
-    # entries stay where the window put them, by token, if the bitmaps of their sets are few enough to be sent there;
-    # if not, a shuffle brings them together again, whose large partitions can be split
-    across = across.join(marked(across.select("id").distinct()).drop("n"), "id")
-    x, y = (across.select("token", *(F.col(c).alias(f"{c}{s}") for c in ("id", "n", "g", "bitmap", "pos"))) for s in (1, 2))
-    near = may_reach(F.col("n1"), F.col("pos1"), F.col("n2"), F.col("pos2")) & (_differ("bitmap1", "bitmap2") <= _apart(F.col("n1") + F.col("n2"), num, den))
-    met = x.join(y, (x.token == y.token) & (F.col("g1") < F.col("g2")) & near)
-    rest = met.select(F.col("id1").alias("a"), F.col("id2").alias("b"), F.col("g1").alias("ga"), F.col("g2").alias("gb")).distinct()
-    rest = common.stored(rest, "rest", files)
-    lists.unpersist()
-    every_set = _more_sets(docs, rest, whole, k, files)
-    settled.settle(rest, every_set)
-    whole.unpersist()
-    every_set.unpersist()
-    groups = settled.groups
-    out = kinds.join(groups, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return sets.select("doc_id", F.col("n").alias("n_shingles"), "fp").join(out, "fp", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
+def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [c.to_numpy().astype(np.int64) for c in batch.columns]
 
-class _Settled:
-    """Groups of verified links so far: groups(id, component). A pair is verified only while its sets are in two groups."""
 
-    def __init__(self, spark, num: int, den: int, in_one_task: int, files: int) -> None:
-        self.num, self.den, self.in_one_task, self.files = num, den, in_one_task, files
-        self.links: DataFrame | None = None
-        self.groups = spark.createDataFrame([], "id long, component long")
+def _led(num: int, den: int):
+    """Of entries in the order of tokens: (a, b, c), each set with the leader of what a batch has of its list."""
 
-    def _sent(self, groups: DataFrame) -> DataFrame:
-        """Groups to join with: broadcast while they have few members, two numbers each."""
-        return F.broadcast(groups) if groups.count() <= self.in_one_task else groups
+    def run(it):
+        for batch in common.batches(it):
+            token, ident, n, pos = _columns(batch)
+            starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            which = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(token)]))
+            rank = _mix(ident.view(np.uint64) ^ _MIX[0])
+            first = np.lexsort((rank, which))[starts]
+            lead = first[which]
+            ok = (ident[lead] != ident) & _reach(n, pos, n[lead], pos[lead], num, den)
+            yield _counted(ident[ok], ident[lead[ok]])
 
-    def settle(self, pairs: DataFrame, whole: DataFrame) -> None:
-        """Verify pairs(a, b, ga, gb), the closest first, until the rest are all within groups; ga and gb are their groups.
+    return run
 
-        Wide bitmaps leave hardly a pair that is not a link. A round takes the closest pair of every group, later rounds
-        ever more of them. What links joins groups, which answers most of the pairs that are left.
-        """
-        marks = whole.select("id", F.size("whole").alias("n"), "wide")
-        if whole.count() <= self.in_one_task // 4:
-            marks = F.broadcast(marks)
-        for x in "ab":
-            pairs = pairs.join(marks.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "wide"))), x)
-        differ = F.aggregate(F.zip_with("wide_a", "wide_b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, c: t + c)
-        pairs = pairs.withColumn("d", differ).where(F.col("d") <= _apart(F.col("n_a") + F.col("n_b"), self.num, self.den))
-        pairs, most = common.stored(pairs.select("a", "b", "ga", "gb", "d").distinct(), "pairs", self.files), 1
-        while not pairs.isEmpty():
-            for x in "ab" if most > 1 else "":
-                named = self.groups.select(F.col("id").alias(x), F.col("component").alias("_g"))
-                pairs = pairs.join(named, x, "left").withColumn(f"g{x}", F.coalesce("_g", x)).drop("_g")
-            rank = [F.row_number().over(W.Window.partitionBy(g).orderBy("d", "a", "b")) for g in ("ga", "gb")]
-            pairs = pairs.where("ga <> gb").withColumn("r", F.least(*rank))
-            pairs = common.stored(pairs.select("a", "b", "ga", "gb", "d", "r"), "pairs", self.files)
-            found = common.stored(_verified(pairs.where(F.col("r") <= most).select("a", "b"), whole, self.num, self.den), "links", self.files)
-            self.links = found if self.links is None else self.links.union(found)
-            self.groups = self._sent(common.components(self.links, self.in_one_task, self.files).withColumnRenamed("node", "id"))
-            pairs, most = pairs.where(F.col("r") > most).select("a", "b", "ga", "gb", "d"), 4 * most
+
+def _beside(num: int, den: int):
+    """Of entries in the order of lists: (a, b, c) with a < b, neighbours of two groups."""
+
+    def run(it):
+        last = None
+        for batch in common.batches(it):
+            rows = _columns(batch)
+            if last is not None:
+                rows = [np.concatenate([x, y]) for x, y in zip(last, rows, strict=True)]
+            token, ident, n, pos, g, leader, shared = rows
+            last = [x[-1:] for x in rows]
+            i = np.flatnonzero((token[1:] == token[:-1]) & (g[1:] != g[:-1]))
+            i = i[_reach(n[i], pos[i], n[i + 1], pos[i + 1], num, den) & _derived(i, i + 1, n, leader, shared, num, den)]
+            yield _counted(np.minimum(ident[i], ident[i + 1]), np.maximum(ident[i], ident[i + 1]))
+
+    return run
+
+
+def _across(num: int, den: int, block: int):
+    """Of entries grouped by token, i, j and ordered by size: (a, b, c) with a < b, all pairs of two groups.
+
+    Blocks are skipped by their bounds of sizes, of what is left from positions on, and of groups.
+    """
+
+    def pairs(rows):
+        token, ident, n, pos, g, leader, shared, i, j, seg = rows
+        starts = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        lengths = np.diff(np.r_[starts, len(token)])
+        rank = np.arange(len(token)) - np.repeat(starts, lengths)
+        first = np.flatnonzero(rank % block == 0)
+        size = np.diff(np.r_[first, len(token)])
+        of = np.repeat(np.arange(len(starts)), -(-lengths // block))
+        low, high = n[first], n[first + size - 1]
+        left = np.maximum.reduceat(n - pos, first)
+        g1, g2 = np.minimum.reduceat(g, first), np.maximum.reduceat(g, first)
+        grid = np.arange(block * block)
+        x, step = np.arange(len(first)), 0
+        while len(x):
+            x = x[x + step < len(first)]
+            y = x + step
+            # as lists are ordered by size, a block too large ends the search for its partner
+            near = (of[x] == of[y]) & (low[y] * num <= high[x] * den)
+            x, y = x[near], y[near]
+            need = -((low[x] + low[y]) * -num // (num + den))
+            open_ = (np.minimum(left[x], left[y]) >= need) & ((np.minimum(g1[x], g1[y]) != np.maximum(g2[x], g2[y])))
+            for at in range(0, int(open_.sum()), 2048):
+                bx, by = x[open_][at : at + 2048], y[open_][at : at + 2048]
+                p = first[bx][:, None] + grid // block
+                q = first[by][:, None] + grid % block
+                ok = (grid // block < size[bx][:, None]) & (grid % block < size[by][:, None]) & (p < q)
+                p, q = p[ok], q[ok]
+                # two segments: pairs of one entry of each
+                ok = (g[p] != g[q]) & ((i[p] == j[p]) | (seg[p] != seg[q]))
+                p, q = p[ok], q[ok]
+                ok = _reach(n[p], pos[p], n[q], pos[q], num, den) & _derived(p, q, n, leader, shared, num, den)
+                p, q = ident[p[ok]], ident[q[ok]]
+                if len(p):
+                    yield _counted(np.minimum(p, q), np.maximum(p, q))
+            step += 1
+
+    def run(it):
+        held = None
+        for batch in common.batches(it):
+            rows = _columns(batch)
+            if held is not None:
+                rows = [np.concatenate([x, y]) for x, y in zip(held, rows, strict=True)]
+            token, i, j = rows[0], rows[7], rows[8]
+            whole = np.flatnonzero((token != token[-1]) | (i != i[-1]) | (j != j[-1]))
+            end = int(whole[-1]) + 1 if len(whole) else 0
+            if end:
+                yield from pairs([x[:end] for x in rows])
+            held = [x[end:] for x in rows]
+        if held is not None and len(held[0]):
+            yield from pairs(held)
+
+    return run
 
 
 def _differ(a: str, b: str):
@@ -276,26 +310,197 @@ def _apart(sizes, num: int, den: int):
     return sizes - 2 * F.ceil(sizes * F.lit(num) / F.lit(num + den))
 
 
-def _more_sets(docs: DataFrame, pairs: DataFrame, whole: DataFrame, k: int, files: int) -> DataFrame:
-    """The sets of pairs: those read already, and the rest, read now if there are any."""
-    need = common.stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(whole, "id", "left_anti"), "need", files)
-    if need.isEmpty():
-        return whole
-    return _by_id(whole.union(_whole_sets(docs, need, k).join(need, "id", "left_semi")))
+def _by_id(rows: DataFrame) -> DataFrame:
+    """Rows dealt out by id, so that the joins of all rounds find them where they are."""
+    return common.kept(rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id"))
+
+
+class _Join:
+    """Groups of verified links so far. A pair is compared only once, and only while its sets are in two groups."""
+
+    def __init__(self, docs: DataFrame, lists: DataFrame, marks: DataFrame, k: int, num: int, den: int, in_one_task: int, segment: int) -> None:
+        self.docs, self.lists, self.marks = docs, lists, marks
+        self.k, self.num, self.den, self.in_one_task, self.segment = k, num, den, in_one_task, segment
+        spark = docs.sparkSession
+        self.groups = spark.createDataFrame([], "id long, component long")
+        self.answers = spark.createDataFrame([], "id long, leader long, shared long")
+        self.tried = spark.createDataFrame([], "a long, b long")
+        self.whole: list[DataFrame] = []
+
+    def _sent(self, df: DataFrame) -> DataFrame:
+        """A table to join with: broadcast while it has few rows, of a few numbers each."""
+        return F.broadcast(df) if df.count() <= self.in_one_task else df
+
+    def entries(self) -> DataFrame:
+        """Entries with their groups, leaders and what they share with these; a token's entries are in one partition."""
+        state = self.groups.join(self.answers, "id", "full")
+        few = state.count() <= self.in_one_task
+        out = self.lists.join(F.broadcast(state) if few else state, "id", "left")
+        out = out.select("token", "id", "n", "pos", F.coalesce("component", "id").alias("g"), F.coalesce("leader", "id").alias("leader"), F.coalesce("shared", F.lit(-1)).alias("shared"))
+        return out if few else out.repartition("token")
+
+    def close(self, pairs: DataFrame) -> DataFrame:
+        """Pairs whose bitmaps allow the threshold, and the bits d in which these differ."""
+        for x in "ab":
+            pairs = pairs.join(self.marks.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "bitmap"))), x)
+        pairs = pairs.withColumn("d", _differ("bitmap_a", "bitmap_b"))
+        return pairs.where(F.col("d") <= _apart(F.col("n_a") + F.col("n_b"), self.num, self.den)).select("a", "b", "d").groupBy("a", "b").agg(F.min("d").alias("d"))
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, shared, na, nb, link): whole sets compared; those not yet read are read first."""
+        need = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        for sets in self.whole:
+            need = need.join(sets.select("id"), "id", "left_anti")
+        need, n = common.compact(need, "need")
+        if n:
+            self.whole.append(_by_id(_whole_sets(self.docs, need, self.k, self.in_one_task)))
+        sets = self.whole[0]
+        for more in self.whole[1:]:
+            sets = sets.union(more)
+        for x in "ab":
+            pairs = pairs.join(sets.select(F.col("id").alias(x), F.col("whole").alias(f"whole_{x}")), x)
+        pairs = pairs.select("a", "b", F.size(F.array_intersect("whole_a", "whole_b")).cast("long").alias("shared"), F.size("whole_a").cast("long").alias("na"), F.size("whole_b").cast("long").alias("nb"))
+        # where rows repeat an id, its largest answer counts
+        pairs = pairs.withColumn("link", F.col("shared") * self.den >= (F.col("na") + F.col("nb") - F.col("shared")) * self.num)
+        return common.compact(pairs.groupBy("a", "b").agg(F.max("link").alias("link"), F.max("shared").alias("shared"), F.max("na").alias("na"), F.max("nb").alias("nb")), "verified")[0]
+
+    def compare(self, pairs: DataFrame) -> tuple[DataFrame, int]:
+        """Verify pairs(a, b) that bitmaps let pass, join their groups; the verified pairs and the number of links."""
+        found = self.verified(pairs)
+        links = found.where("link").select("a", "b")
+        n = links.count()
+        if n:
+            old = self.groups.select(F.col("id").alias("a"), F.col("component").alias("b"))
+            self.groups = common.components(links.union(old), self.in_one_task).withColumnRenamed("node", "id")
+        return found, n
+
+    def _ask(self, asked: DataFrame) -> DataFrame:
+        self.tried = common.stored(self.tried.union(asked.select("a", "b")), "tried", 1 + asked.count() // common.ROWS_A_FILE)
+        return asked
+
+    def lead(self) -> None:
+        """The first round: each set with the leader of most of its lists."""
+        led = self.lists.sortWithinPartitions("token", "n", "id").mapInArrow(_led(self.num, self.den), "a long, b long, c long")
+        led = led.repartition("a").groupBy("a", "b").agg(F.sum("c").alias("c")).groupBy("a").agg(F.max_by("b", F.struct("c", F.xxhash64("b"))).alias("b"))
+        led = common.kept(led)
+        self._ask(led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        # a set is asked about its leader in this order, so that its answer is its own
+        found, _ = self.compare(common.compact(self.close(led).select("a", "b"), "close")[0])
+        own = found.select(F.col("a").alias("id"), F.col("b").alias("leader"), "shared")
+        heads = found.select(F.col("b").alias("id"), F.col("b").alias("leader"), F.col("nb").alias("shared")).distinct().join(own.select("id"), "id", "left_anti")
+        self.answers = common.compact(own.union(heads), "answers")[0]
+        led.unpersist()
+
+    def neighbours(self) -> bool:
+        """A round: each set with its nearest neighbour of another group in most of its lists; whether it paid."""
+        near = self.entries().sortWithinPartitions("token", "n", "id").mapInArrow(_beside(self.num, self.den), "a long, b long, c long")
+        near = near.groupBy("a", "b").agg(F.sum("c").alias("c")).join(self._sent(self.tried), ["a", "b"], "left_anti")
+        near = common.kept(near)
+        both = near.select(F.col("a").alias("x"), F.col("b").alias("y"), "c").union(near.select("b", "a", "c"))
+        best = both.groupBy("x").agg(F.max_by("y", F.struct("c", F.xxhash64("x", "y"))).alias("y"))
+        asked = common.compact(best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "asked")[0]
+        near.unpersist()
+        if asked.isEmpty():
+            return False
+        self._ask(asked)
+        close, n = common.compact(self.close(asked).select("a", "b"), "close")
+        return 20 * self.compare(close)[1] > n
+
+    def finish(self) -> None:
+        """All pairs across groups that lists, bounds, derived answers and bitmaps leave."""
+        num, den, cut = self.num, self.den, self.segment
+        every = W.Window.partitionBy("token")
+        rows = self.entries().select("*", F.min("g").over(every).alias("g1"), F.max("g").over(every).alias("g2"), F.count("*").over(every).alias("m")).where("g1 <> g2")
+        rows = common.kept(rows.withColumn("seg", F.floor((F.row_number().over(every.orderBy("g", "n", "id")) - 1) / cut)))
+        short = rows.where(F.col("m") <= cut).select(*_ENTRY, *(F.lit(0).cast("long").alias(x) for x in ("i", "j")), "seg")
+        found = short.sortWithinPartitions("token", "n", "id").mapInArrow(_across(num, den, BLOCK), "a long, b long, c long")
+        long_ = rows.where(F.col("m") > cut)
+        if not long_.isEmpty():
+            # segments of long lists, ordered by group: two are compared if their bounds let a pair through
+            bounds = long_.groupBy("token", "seg").agg(F.min("g").alias("g1"), F.max("g").alias("g2"), F.min("n").alias("n1"), F.max("n").alias("n2"), F.max(F.col("n") - F.col("pos")).alias("rest"))
+            u, v = (bounds.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("seg", "g1", "g2", "n1", "n2", "rest"))) for x in "uv")
+            need = F.ceil((F.col("n1_u") + F.col("n1_v")) * F.lit(num) / F.lit(num + den))
+            may = (F.col("seg_u") <= F.col("seg_v")) & (F.least("g1_u", "g1_v") != F.greatest("g2_u", "g2_v"))
+            may &= (F.greatest("n1_u", "n1_v") * num <= F.least("n2_u", "n2_v") * den) & (F.least("rest_u", "rest_v") >= need)
+            meet = u.join(v, "token").where(may).select("token", F.col("seg_u").alias("i"), F.col("seg_v").alias("j"))
+            meet = meet.select("token", "i", "j", F.col("i").alias("seg")).union(meet.where("i <> j").select("token", "i", "j", F.col("j").alias("seg")))
+            parts = long_.select(*_ENTRY, "seg").join(meet, ["token", "seg"]).select(*_ENTRY, "i", "j", "seg").repartition("token", "i", "j")
+            found = found.union(parts.sortWithinPartitions("token", "i", "j", "n", "id").mapInArrow(_across(num, den, BLOCK), "a long, b long, c long"))
+        pairs = found.select("a", "b").distinct().join(self._sent(self.tried), ["a", "b"], "left_anti")
+        pairs, left = common.compact(self.close(pairs), "rest")
+        rows.unpersist()
+        most = 4
+        while left:
+            for x in "ab":
+                named = self.groups.select(F.col("id").alias(x), F.col("component").alias("_g"))
+                pairs = pairs.join(self._sent(named), x, "left").withColumn(f"g{x}", F.coalesce("_g", x)).drop("_g")
+            rank = [F.row_number().over(W.Window.partitionBy(x).orderBy("d", "a", "b")) for x in "ab"]
+            pairs, _ = common.compact(pairs.where("ga <> gb").select("a", "b", "d").withColumn("r", F.least(*rank)), "rest")
+            self.compare(pairs.where(F.col("r") <= most).select("a", "b"))
+            pairs = pairs.where(F.col("r") > most).select("a", "b", "d")
+            left, most = pairs.count(), 8 * most
+
+    def free(self) -> None:
+        for sets in self.whole:
+            sets.unpersist()
+
+
+def classes(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, in_one_task: int = common.LINKS_IN_ONE_TASK, segment: int = SEGMENT) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs(doc_id, text): the join's classes.
+
+    Two documents link when the Jaccard similarity of their k-word shingle sets is at least num/den, compared in
+    integers. component_id is the smallest doc_id that links reach. Null and blank texts have the size 0 and link with
+    nothing, as do rows without an id, whose component_id is null. Rows with equal texts, also with equal ids, are one
+    class. Very long texts are sets like others. An empty table has no rows. Other columns of docs are not looked at.
+    in_one_task and segment only decide how the work is dealt out.
+    """
+    docs = docs.select("doc_id", "text")
+    sets = common.kept(set_rows(docs, k, num, den))
+    # written, so that no later plan repeats how they came
+    kinds = common.stored(sets.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("m")), "kinds")
+    # sets that more than a thousandth of the rows have: fewer than a thousand
+    hot = kinds.where(F.col("m") * 1000 > (kinds.agg(F.sum("m")).first()[0] or 0)).where("m > 1")
+    named = sets.withColumnRenamed("doc_id", "id")
+    copies = _of_kinds(sets.where("n > 0 and doc_id is not null").select("doc_id", "fp"), kinds.select("fp", "id"), hot, "inner")
+    copies, n = common.compact(copies.where("doc_id <> id").select(F.col("doc_id").alias("id"), "fp"), "copies")
+    single = named.where("n > 0 and id is not null").join(F.broadcast(copies) if n <= in_one_task else copies, ["id", "fp"], "left_anti")
+    order = W.Window.partitionBy("token").orderBy("n", "id")
+    lists = single.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
+    lists = lists.select("token", "id", "n", "pos", F.lag("id").over(order).alias("before"), F.lead("id").over(order).alias("after"))
+    lists = common.kept(lists.where("before is not null or after is not null").drop("before", "after"))
+    marks = _by_id(single.select("id", "n", "bitmap").join(lists.select("id").distinct(), "id", "left_semi"))
+    join = _Join(docs, lists, marks, k, num, den, in_one_task, segment)
+    if not lists.isEmpty():
+        join.lead()
+        while join.neighbours():
+            pass
+        join.finish()
+    lists.unpersist()
+    marks.unpersist()
+    join.free()
+    out = kinds.join(join.groups, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+    rows = sets.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "fp")
+    found = _of_kinds(rows.where("fp is not null"), out, hot, "left").unionByName(rows.where("fp is null").withColumn("component_id", F.lit(None).cast("long")))
+    return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def _by_id(sets: DataFrame) -> DataFrame:
-    """Sets dealt out by id, so that the joins of all rounds find them where they are."""
-    return common.kept(sets.repartition(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id"))
+def _of_kinds(rows: DataFrame, kinds: DataFrame, hot: DataFrame, how: str) -> DataFrame:
+    """rows joined with kinds by fp; the kinds of hot, which many rows have, are sent to the rows."""
+    hot = F.broadcast(hot.select("fp"))
+    often = rows.join(F.broadcast(kinds.join(hot, "fp", "left_semi")), "fp")
+    return often.unionByName(rows.join(hot, "fp", "left_anti").join(kinds.join(hot, "fp", "left_anti"), "fp", how))
 
 
 def deduplicated(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """docs without all but one document of each group: the one with the smallest doc_id stays.
 
-    Rows without an id stay. Of rows that repeat an id, all stay if the id stays.
+    Rows without an id stay, as do null and blank texts. Of rows that repeat an id, all stay if the id stays. Columns
+    may have any names.
     """
-    gone = classes(docs, k, num, den).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    found = classes(docs, k, num, den).where("doc_id <> component_id")
+    # the only column of its side, so no name of docs clashes
+    gone = found.select(F.col("doc_id").alias(common.fresh("gone", docs))).distinct()
+    return docs.join(gone, docs["doc_id"] == gone[gone.columns[0]], "left_anti")
 
 
 #: The rows of classes() with its defaults, in DuckDB's SQL: all pairs that share a shingle, and a closure over links.

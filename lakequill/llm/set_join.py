@@ -326,6 +326,7 @@ class _Join:
         self.answers = spark.createDataFrame([], "id long, leader long, shared long")
         self.tried = spark.createDataFrame([], "a long, b long")
         self.whole: list[DataFrame] = []
+        self.found = 0
 
     def _sent(self, df: DataFrame) -> DataFrame:
         """A table to join with: broadcast while it has few rows, of a few numbers each."""
@@ -347,7 +348,7 @@ class _Join:
         return pairs.where(F.col("d") <= _apart(F.col("n_a") + F.col("n_b"), self.num, self.den)).select("a", "b", "d").groupBy("a", "b").agg(F.min("d").alias("d"))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, shared, na, nb, link): whole sets compared; those not yet read are read first."""
+        """(a, b, shared, nb, link): whole sets compared; those not yet read are read first."""
         need = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         for sets in self.whole:
             need = need.join(sets.select("id"), "id", "left_anti")
@@ -357,18 +358,27 @@ class _Join:
         sets = self.whole[0]
         for more in self.whole[1:]:
             sets = sets.union(more)
-        for x in "ab":
-            pairs = pairs.join(sets.select(F.col("id").alias(x), F.col("whole").alias(f"whole_{x}")), x)
+        left, right = (sets.select(F.col("id").alias(x), F.col("whole").alias(f"whole_{x}")) for x in "ab")
+        # a set in many pairs, as a leader is, gets several tasks
+        most = pairs.groupBy("b").count().agg(F.max("count")).first()[0] or 0
+        key = ["b"]
+        if (parts := 1 + most * 16 // self.segment) > 1:
+            key = ["b", "part"]
+            pairs = pairs.withColumn("part", F.pmod(F.xxhash64("a"), F.lit(parts)))
+            right = pairs.select(*key).distinct().join(right, "b")
+        pairs = pairs.join(left, "a").join(right, key)
         pairs = pairs.select("a", "b", F.size(F.array_intersect("whole_a", "whole_b")).cast("long").alias("shared"), F.size("whole_a").cast("long").alias("na"), F.size("whole_b").cast("long").alias("nb"))
-        # where rows repeat an id, its largest answer counts
         pairs = pairs.withColumn("link", F.col("shared") * self.den >= (F.col("na") + F.col("nb") - F.col("shared")) * self.num)
-        return common.compact(pairs.groupBy("a", "b").agg(F.max("link").alias("link"), F.max("shared").alias("shared"), F.max("na").alias("na"), F.max("nb").alias("nb")), "verified")[0]
+        return common.compact(pairs, "verified")[0]
 
     def compare(self, pairs: DataFrame) -> tuple[DataFrame, int]:
         """Verify pairs(a, b) that bitmaps let pass, join their groups; the verified pairs and the number of links."""
+        if pairs.isEmpty():
+            return pairs.sparkSession.createDataFrame([], "a long, b long, shared long, nb long, link boolean"), 0
         found = self.verified(pairs)
-        links = found.where("link").select("a", "b")
+        links = found.where("link").select("a", "b").distinct()
         n = links.count()
+        self.found += n
         if n:
             old = self.groups.select(F.col("id").alias("a"), F.col("component").alias("b"))
             self.groups = common.components(links.union(old), self.in_one_task).withColumnRenamed("node", "id")
@@ -391,20 +401,21 @@ class _Join:
         self.answers = common.compact(own.union(heads), "answers")[0]
         led.unpersist()
 
-    def neighbours(self) -> bool:
-        """A round: each set with its nearest neighbour of another group in most of its lists; whether it paid."""
+    def neighbours(self, most: int) -> bool:
+        """A round: each set with its nearest neighbours of other groups in most of its lists; whether it paid."""
         near = self.entries().sortWithinPartitions("token", "n", "id").mapInArrow(_beside(self.num, self.den), "a long, b long, c long")
-        near = near.groupBy("a", "b").agg(F.sum("c").alias("c")).join(self._sent(self.tried), ["a", "b"], "left_anti")
-        near = common.kept(near)
-        both = near.select(F.col("a").alias("x"), F.col("b").alias("y"), "c").union(near.select("b", "a", "c"))
-        best = both.groupBy("x").agg(F.max_by("y", F.struct("c", F.xxhash64("x", "y"))).alias("y"))
-        asked = common.compact(best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "asked")[0]
-        near.unpersist()
-        if asked.isEmpty():
+        near = near.groupBy("a", "b").agg(F.sum("c").alias("c"))
+        # a set has two neighbours in a list and some lists, so few in all
+        both = near.select("*", F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("p"))
+        best = both.groupBy("p.x").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", F.xxhash64("a", "b").alias("h"), "p.y")), False), 1, most).alias("best"))
+        best = best.select("x", F.explode("best.y").alias("y"))
+        best = best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        asked, n = common.compact(best.join(self._sent(self.tried), ["a", "b"], "left_anti"), "asked")
+        if not n:
             return False
         self._ask(asked)
-        close, n = common.compact(self.close(asked).select("a", "b"), "close")
-        return 20 * self.compare(close)[1] > n
+        close, _ = common.compact(self.close(asked).select("a", "b"), "close")
+        return 10 * self.compare(close)[1] > self.found
 
     def finish(self) -> None:
         """All pairs across groups that lists, bounds, derived answers and bitmaps leave."""
@@ -472,8 +483,9 @@ def classes(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, in_one_tas
     join = _Join(docs, lists, marks, k, num, den, in_one_task, segment)
     if not lists.isEmpty():
         join.lead()
-        while join.neighbours():
-            pass
+        most = 1
+        while join.neighbours(most):
+            most += 1
         join.finish()
     lists.unpersist()
     marks.unpersist()

@@ -96,12 +96,19 @@ def batches(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (b for b in rows if b.num_rows)
 
 
+def slices(rows: Iterable[pa.RecordBatch], most: int = 512) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of a bounded number, so that what is made of them is bounded, too."""
+    for batch in rows:
+        for at in range(0, batch.num_rows, most):
+            yield batch.slice(at, most)
+
+
 def mapped(df: DataFrame, each: Callable[[pa.RecordBatch], Iterable[dict]], schema: str) -> DataFrame:
-    """mapInArrow with a function from a batch to dicts of columns."""
+    """mapInArrow with a function from a batch of some rows to dicts of columns."""
     names = [f.strip().split(" ")[0] for f in schema.split(",")]
 
     def run(it):
-        for batch in batches(it):
+        for batch in slices(it):
             for columns in each(batch):
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in (columns[n] for n in names)], names=names)
 

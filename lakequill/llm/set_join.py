@@ -74,7 +74,7 @@ def _places(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _histogram(it):
     seen = [np.zeros(s, dtype=np.int64) for s in (WORD_SLOTS, PAIR_SLOTS)]
-    for batch in it:
+    for batch in common.slices(it):
         at = [_places(word_hashes(t)) for t in common.raw(batch.column(0)) if t]
         for s, places in zip(seen, zip(*at, strict=True), strict=False):
             s += np.bincount(np.concatenate(places), minlength=len(s))

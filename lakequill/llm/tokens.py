@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from . import common
 
@@ -15,16 +16,18 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 END = 2
 #: Marks that are neither letters, numbers nor blanks.
 _MARKS = ".,!?;:*%&$#|)"
+#: Marks that are cut off before words are looked up, where a blank follows them.
+_FREQUENT = ",."
 _BLANKS = re.compile(r"\s\s")
 _RARE_BLANKS = b"\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
 
 
-def _blanks_meet(raw: bytes, text: str) -> bool:
+def _blanks_meet(raw: bytes) -> bool:
     """Whether two blanks stand side by side; the pattern is only tried where a text has rarer blanks."""
     if b"  " in raw or b"\n\n" in raw or b"\n " in raw or b" \n" in raw:
         return True
     if len(raw.translate(None, _RARE_BLANKS)) < len(raw) or any(lead in raw for lead in (b"\xc2", b"\xe1", b"\xe2", b"\xe3")):
-        return _BLANKS.search(text) is not None
+        return _BLANKS.search(raw.decode("utf-8", "replace")) is not None
     return False
 
 
@@ -35,12 +38,12 @@ def default_tokenizer() -> str:
 
 
 class _Places(dict):
-    """Words and their places in the order in which they came; new ones are noted."""
+    """Words as UTF-8 and their places in the order in which they came; new ones are noted."""
 
     def __init__(self) -> None:
-        self.new: list[str] = []
+        self.new: list[bytes] = []
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
         self.new.append(word)
         return n
@@ -51,10 +54,12 @@ class Encoder:
 
     A byte-level BPE tokenizer never lets a token reach over a blank between two words, which goes to the second. Words
     are thus encoded once, by the tokenizers library, and looked up from then on; a text with two blanks in a row, in
-    which such cuts could change tokens, is encoded as a whole. The memory of words is bounded.
+    which such cuts could change tokens, is encoded as a whole. A mark between a letter or number and a blank is a token
+    of its own, so it is looked up apart from its word; a text in which such a mark follows another sign is encoded as a
+    whole. The memory of words is bounded.
     """
 
-    def __init__(self, path: str, most: int = 700_000) -> None:
+    def __init__(self, path: str, most: int = 695_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -71,18 +76,22 @@ class Encoder:
     def _forget(self) -> None:
         self.places = _Places()
         self.starts = np.zeros(1, dtype=np.int64)
+        #: Which words are marks alone, which begin a text, and which end in neither a letter nor a number.
+        self.mark = np.zeros(1, dtype=bool)
+        self.begin = np.zeros(1, dtype=bool)
+        self.loose = np.zeros(1, dtype=bool)
         self.known = np.zeros(1, dtype="<u4")
         self.held = 0
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _letters(self, words: list[str], before: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids and their numbers of words, each after the mark ``before``, whose token alone begins a word: encoded as one text."""
         begins, ids, sizes = self.begins[before], [], []
         for i in range(0, len(words), 4096):
             some = words[i : i + 4096]
-            got = np.array(self.tokenizer.encode(before + before.join(some), add_special_tokens=False).ids, dtype="<u4")
+            got = np.array(self.tokenizer.encode_batch_fast([before + before.join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
             cuts = np.append(np.flatnonzero(begins[got]), len(got))
             if len(cuts) != len(some) + 1:
                 each = [np.frombuffer(x, dtype="<u4") for x in self._ids([before + w for w in some])]
@@ -97,14 +106,19 @@ class Encoder:
         if not places.new:
             return
         first = self.held
-        get = places.__getitem__
         joined = []  # (word, letters, marks) by place
         for w in list(places.new):
-            if not w.isalpha():
-                core = w.rstrip(_MARKS)
-                if core != w and (core.isalpha() or core[:1] == "\n" and core[1:].isalpha()):
-                    joined.append((get(w), get(core), get("\0" + w[len(core) :])))
-        new, places.new = places.new, []
+            text = w.decode()
+            if not text.isalpha():
+                core = text.rstrip(_MARKS)
+                if core != text and (core.isalpha() or core[:1] == "\n" and core[1:].isalpha()):
+                    joined.append((places[w], places[core.encode()], places[b"\0" + text[len(core) :].encode()]))
+        new, places.new = [w.decode() for w in places.new], []
+        n = first + len(new)
+        for name, is_ in (("mark", [w[:1] == "\0" for w in new]), ("begin", [w[:1] == "\r" for w in new]), ("loose", [not w[-1:].isalnum() for w in new])):
+            if n > len(getattr(self, name)):
+                setattr(self, name, np.concatenate([getattr(self, name), np.zeros(n, dtype=bool)]))
+            getattr(self, name)[first:n] = is_
         whole = {x for x, _, _ in joined}
         plain = [i for i, w in enumerate(new) if w.isalpha()]
         lines = [i for i, w in enumerate(new) if w[:1] == "\n" and w[1:].isalpha()]
@@ -154,45 +168,57 @@ class Encoder:
         if ids > len(self.known):
             self.known = np.concatenate([self.known, np.zeros(ids, dtype="<u4")])
 
+    def _words(self, text: bytes) -> np.ndarray:
+        """Places of words; each distinct word is looked up once."""
+        text = text.replace(b"\n", b" \n")
+        for m in _FREQUENT.encode():
+            text = text.replace(b"%c " % m, b" \0%c " % m)
+        words = pc.split_pattern(pa.array([text], pa.large_binary()), " ").flatten()
+        words = words.slice(0, len(words) - 1).dictionary_encode()
+        places = np.fromiter(map(self.places.__getitem__, words.dictionary.to_pylist()), dtype=np.int64, count=len(words.dictionary))
+        self._learn()
+        return places[words.indices.to_numpy()]
+
     def __call__(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """Null has no ids."""
         out = [np.zeros(0, dtype="<u4")] * len(texts)
         if len(self.places) > self.most:
             self._forget()
-        place, whole, cut, at, ends = self.places.__getitem__, [], [], [], []
+        whole, cut, some = [], [], []
         for i, raw in enumerate(texts):
             if not raw:
                 continue
-            text = raw.decode("utf-8", "replace")
             # a word that begins with NUL would be taken for a mark of its own
-            if b"\0" in raw or _blanks_meet(raw, text):
-                whole.append((i, text))
-                continue
-            sign = "\r"
-            for line in text.split("\n"):
-                words = line.split(" ")
-                words[0] = sign + words[0]
-                sign = "\n"
-                at += map(place, words)
-            cut.append(i)
-            ends.append(len(at))
-        if whole:
-            for (i, _), ids in zip(whole, self._ids([t for _, t in whole]), strict=True):
-                out[i] = np.frombuffer(ids, dtype="<u4")
+            if b"\0" in raw or _blanks_meet(raw):
+                whole.append(i)
+            else:
+                cut.append(i)
+                some += b"\r", raw, b" "
         if cut:
-            self._learn()
-            words = np.array(at, dtype=np.int64)
+            words = self._words(b"".join(some))
+            # no other word can begin with a carriage return
+            ends = np.append(np.flatnonzero(self.begin[words])[1:], len(words))
             begin, size = self.starts[words], self.starts[words + 1] - self.starts[words]
             after = np.concatenate([[0], np.cumsum(size)])
             ids = self.known[np.repeat(begin - after[:-1], size) + np.arange(after[-1])]
             for i, part in zip(cut, np.split(ids, after[ends[:-1]]), strict=True):
                 out[i] = part
+            wrong = np.flatnonzero(self.mark[words[1:]] & self.loose[words[:-1]]) + 1
+            whole += [cut[k] for k in np.unique(np.searchsorted(ends, wrong, side="right"))]
+        for i, ids in zip(whole, self._ids([texts[i].decode("utf-8", "replace") for i in whole]), strict=True):
+            out[i] = np.frombuffer(ids, dtype="<u4")
         return out
 
-    def batches(self, texts: list[bytes | None], rows: int = 256):
-        """Ids of texts, a bounded number of them at a time."""
-        for i in range(0, len(texts), rows):
-            yield from self(texts[i : i + rows])
+    def batches(self, texts: list[bytes | None], most: int = 4 << 20):
+        """Ids of texts, about so many bytes of them at a time."""
+        some, size = [], 0
+        for t in texts:
+            some.append(t)
+            size += len(t or b"") + 16
+            if size >= most:
+                yield from self(some)
+                some, size = [], 0
+        yield from self(some)
 
 
 @lru_cache(maxsize=2)

@@ -41,7 +41,7 @@ _U = np.uint64
 _MIX = (_U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB))
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _U(30))) * _MIX[1]
     x = (x ^ (x >> _U(27))) * _MIX[2]
     return x ^ (x >> _U(31))
@@ -58,7 +58,7 @@ def grams(words: np.ndarray, k: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         h = np.full(n, _U(k))
         for i in range(k):
-            h = _mix(h * _MIX[0] + words[i : n + i])
+            h = mixed(h * _MIX[0] + words[i : n + i])
     return h
 
 
@@ -213,7 +213,7 @@ def _led(num: int, den: int):
             token, ident, n, pos = _columns(batch)
             starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
             which = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(token)]))
-            rank = _mix(ident.view(np.uint64) ^ _MIX[0])
+            rank = mixed(ident.view(np.uint64) ^ _MIX[0])
             first = np.lexsort((rank, which))[starts]
             lead = first[which]
             ok = (ident[lead] != ident) & _reach(n, pos, n[lead], pos[lead], num, den)

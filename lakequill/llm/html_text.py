@@ -2,15 +2,20 @@
 
 A page is read into a tree that tolerates missing and crossing end tags. Menus, headers, footers, sidebars, notices,
 adverts, forms and comments are known by their elements, roles and names and are left out. Each paragraph gives points
-for its length and commas to its parent, half as many to the grandparent, and ever fewer further up; a container's
-points are discounted by the share of its text inside links. The best container is kept, with those of its siblings
-that score well or are paragraphs of prose, and its text is returned in page order.
+for its length and commas to its parent, half as many to the grandparent, and half as many again with each step up to
+the root; a container's points are discounted by the share of its text inside links. The best container is kept, with
+those of its siblings that score well or are paragraphs of prose, and its text is returned in page order. Where several
+containers score well side by side, they are parts of the one around them, whose other text is kept, too, but for lists
+of links. Within a container that scored, nothing is dropped for its links: they are the article's own.
+
+Reading, scoring and collecting take time in proportion to the page, however its tags nest.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,9 +37,10 @@ ENDS_P = BLOCK - {"br", "option", "button", "legend", "caption", "summary"}
 SAME = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 _BAD = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adbox|advert\w*|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|alert|newsletter|subscribe|subscription|"
-    r"sidebar\w*|comments?|commentlist|disqus\w*|repl(?:y|ies)|discussion|respond|shar(?:e|ing)\w*|social\w*|related\w*|recommend\w*|"
+    r"sidebar\w*|comments?|commentlist|disqus\w*|repl(?:y|ies)|discussion|respond|shar(?:e|ing)\w*|social\w*|recommend\w*|"
     r"breadcrumbs?|menu\w*|nav\w*|footer\w*|masthead|site-?header|page-?header|popup|modal|overlay|paywall|login|signup|sign-up|paginat\w*|pager|"
     r"skip-link|widget\w*|toolbar|tags|byline-share|hidden|sr-only|visually-hidden)(?:$|[\s_-])"
+    r"|(?:^|[\s_-])related(?:[_-]?(?:posts?|articles?|links?|stor(?:y|ies)|content|items?|news|topics?|pages?|reading))?(?:$|\s)"
 )
 _GOOD = re.compile(r"(?:^|[\s_-])(?:article\w*|content|post|entry|main|story|text|body|prose)(?:$|[\s_-])")
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
@@ -45,6 +51,8 @@ _TOKEN = re.compile(
     rf"((?:[\s/]+|{_NAME}(?:\s*=\s*(?:\"[^\"]*(?:\"|$)|'[^']*(?:'|$)|[^\s>\"'][^\s>]*)?)?)*+)(>|$)", re.S)
 _ATTRIBUTE = re.compile(rf"({_NAME})(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>\"'][^\s>]*))?)?")
 _BLANK = re.compile(r"\s+")
+#: Raw elements whose text goes on to the page's end where they are not closed; others are then read as if they were empty.
+_TO_THE_END = frozenset("script style textarea xmp".split())
 _ENDS = {t: re.compile(f"</{t}", re.I) for t in RAW}
 
 
@@ -58,6 +66,7 @@ class Tree:
         self.dropped: list[bool] = [False]
         self.texts: list[tuple[int, int, str]] = []
         self.block = 0
+        self.open: dict[str, list[int]] = defaultdict(list)
         self._read(page)
 
     def _add(self, tag: str, attributes: str, stack: list[int]) -> int:
@@ -66,30 +75,37 @@ class Tree:
             found = {k.lower(): html.unescape(a or b or c or "") for k, a, b, c in _ATTRIBUTE.findall(attributes)}
             names = f"{found.get('class', '')} {found.get('id', '')}".lower()
             if tag not in ("html", "body", "article", "main"):
-                drop |= bool(_BAD.search(names)) and not (tag in ("div", "section") and _GOOD.search(names) and "comment" not in names)
+                # one name can say both, as text-notice does, and is bad then
+                good = tag in ("div", "section") and "comment" not in names and any(_GOOD.search(x) and not _BAD.search(x) for x in names.split())
+                drop |= bool(_BAD.search(names)) and not good
                 drop |= found.get("role", "").lower() in _ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
                 drop |= "display:none" in found.get("style", "").lower().replace(" ", "")
             weight += 25 * bool(_GOOD.search(names))
             weight += 25 * (found.get("role", "").lower() in ("main", "article"))
         weight += {"article": 30, "main": 20}.get(tag, 0)
         if tag == "header":
-            drop |= not any(self.tag[x] in ("article", "main") for x in stack)
+            drop |= not (self.open["article"] or self.open["main"])
         self.tag.append(tag)
         self.up.append(stack[-1])
         self.weight.append(weight)
         self.dropped.append(drop or self.dropped[stack[-1]])
         return len(self.tag) - 1
 
+    def _push(self, stack: list[int], node: int) -> None:
+        self.open[self.tag[node]].append(len(stack))
+        stack.append(node)
+
     def _close(self, stack: list[int], tag: str, stops: tuple[str, ...] = ()) -> None:
-        for n in range(len(stack) - 1, 0, -1):
-            if self.tag[stack[n]] == tag:
-                del stack[n:]
-                return
-            if self.tag[stack[n]] in stops:
-                return
+        """Close the nearest open element of a tag, unless one of stops is nearer; places of open elements are at hand."""
+        at = self.open[tag]
+        if at and all(not self.open[x] or self.open[x][-1] <= at[-1] for x in stops):
+            n = at[-1]
+            while len(stack) > n:
+                self.open[self.tag[stack.pop()]].pop()
 
     def _read(self, page: str) -> None:
         stack, at = [0], 0
+        endless: set[str] = set()
         while at < len(page):
             start = page.find("<", at)
             if start < 0:
@@ -126,9 +142,13 @@ class Tree:
             if tag in VOID or m[3].endswith("/") and tag in ("svg", "math"):
                 continue
             if tag in RAW:
-                end = _ENDS[tag].search(page, at)
+                end = None if tag in endless else _ENDS[tag].search(page, at)
+                if end is None:
+                    endless.add(tag)
+                    if tag not in _TO_THE_END:
+                        continue
                 at = len(page) if end is None else end.start()
-            stack.append(node)
+            self._push(stack, node)
 
     def _text(self, node: int, text: str) -> None:
         if not self.dropped[node]:
@@ -164,35 +184,35 @@ def main_text(page: str | None) -> str:
     def density(i: int) -> float:
         return linked[i] / length[i] if length[i] else 0.0
 
-    points: dict[int, float] = {}
-    for i in range(1, n):
-        if tree.dropped[i] or tree.tag[i] not in PARAGRAPHS or not own[i]:
-            continue
-        given = (1 + commas[i] + min(own[i] / 100, 3)) * (1.0 if own[i] >= 25 else 0.2) * (1 - density(i))
-        level, x = 0, i if tree.tag[i] in ("div", "section", "article") else tree.up[i]
-        while x and level < 6:
-            points.setdefault(x, 0.0)
-            points[x] += given if level == 0 else given / 2 if level == 1 else given / (3 * level)
-            x, level = tree.up[x], level + 1
-    scores = {i: (p + tree.weight[i]) * (1 - density(i)) for i, p in points.items()}
+    # what a node's paragraphs give to it, and half of what they give to each of its children
+    points, scored = [0.0] * n, [False] * n
+    for i in range(n - 1, 0, -1):
+        up = tree.up[i]
+        if not tree.dropped[i] and tree.tag[i] in PARAGRAPHS and own[i]:
+            given = (1 + commas[i] + min(own[i] / 100, 3)) * (1.0 if own[i] >= 25 else 0.2) * (1 - density(i))
+            x = i if tree.tag[i] in ("div", "section", "article") else up
+            points[x] += given
+            scored[x] = True
+        points[up] += points[i] / 2
+        scored[up] |= scored[i]
+    scores = {i: (points[i] + tree.weight[i]) * (1 - density(i)) for i in range(1, n) if scored[i]}
     if not scores:
-        kept = {0}
+        chosen = kept = {0}
     else:
         best = max(scores, key=lambda i: (scores[i], -i))
-        kept, parent, enough = {best}, tree.up[best], 0.2 * scores[best]
+        chosen, parent, enough = {best}, tree.up[best], 0.2 * scores[best]
         for i in range(1, n):
             if tree.up[i] != parent or i == best or tree.dropped[i]:
                 continue
             prose = tree.tag[i] in ("p", "blockquote", "pre") and (own[i] > 80 and density(i) < 0.25 or own[i] and not linked[i])
             if prose or scores.get(i, 0) >= enough or tree.tag[i] in ("h1", "h2") and tree.tag[parent] in ("article", "main"):
-                kept.add(i)
-        # several containers side by side are parts of the one around them
-        if sum(i in scores for i in kept) > 1 and tree.tag[parent] not in ("#root", "html", "body"):
-            kept = {parent}
-    # lists of links inside the container are menus
-    inside = [False] * n
+                chosen.add(i)
+        several = sum(i in scores for i in chosen) > 1 and tree.tag[parent] not in ("#root", "html", "body")
+        kept = chosen | {parent} if several else chosen
+    inside, own_links = [False] * n, [False] * n
     for i in range(n):
-        menu = tree.tag[i] in ("ul", "ol", "dl", "table", "div", "section") and i not in kept and length[i] and density(i) > 0.6
+        own_links[i] = i in chosen or own_links[tree.up[i]]
+        menu = not own_links[i] and i not in kept and tree.tag[i] in ("ul", "ol", "dl", "table", "div", "section") and length[i] and density(i) > 0.6
         inside[i] = (i in kept or inside[tree.up[i]]) and not tree.dropped[i] and not menu
     blocks: list[str] = []
     last, parts = -1, []

@@ -11,7 +11,7 @@ PROSE = "This paragraph has a good length, some commas, and says what an article
     (f"<nav><a href=x>Home</a></nav><article><h1>T</h1><p>{PROSE}</p><p>short</p></article><footer>&copy; x</footer>", f"T {PROSE} short"),
     (f"<article><p><b>{PROSE}<br><p>two</p></article><div class='ad'>buy</div>", f"{PROSE} two"),
     (f"<div id=sidebar><p>{PROSE}</p></div><div class=content><p>{PROSE} x</p><p>{PROSE} y</p></div>", f"{PROSE} x {PROSE} y"),
-    (f"<main><p>{PROSE}</p><ul><li>one</li><li>two</li></ul><ul><li><a href=1>link</a></li><li><a href=2>other</a></li></ul></main>", f"{PROSE} one two"),
+    (f"<main><p>{PROSE}</p><ul><li>one</li><li>two</li></ul><ul><li><a href=1>link</a></li><li><a href=2>other</a></li></ul></main>", f"{PROSE} one two link other"),
     (f"<article><p>{PROSE}</p><section class='comments'><p>{PROSE} I disagree, really, with all, of this, and more.</p></section></article>", PROSE),
     (f"<script>var a='<p>x</p>';</script><style>p{{}}</style><article><p>{PROSE}<script>if(a<b)c()</script> end</p><form><p>name</p></form></article>", f"{PROSE} end"),
     (f"<div class=cookie-notice><p>We use cookies, many, of them, for all, sorts of things, and you agree to it.</p></div><article><p>{PROSE}</p></article>", PROSE),

@@ -16,7 +16,19 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of a batch that Python workers get, unless the session says otherwise: 10,000 rows of long texts could be any size.
+BATCH_BYTES = 4 << 20
+
+
+def lean(spark: SparkSession) -> None:
+    """Bound the batches of Python workers by bytes where the session has Spark's default."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    lean(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -41,6 +53,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """Write a DataFrame into the shared folder and read it back: it is computed once, and its lineage is cut."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    lean(spark)
     (df.repartition(files) if files else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -105,6 +118,7 @@ def slices(rows: Iterable[pa.RecordBatch], most: int = 512) -> Iterator[pa.Recor
 
 def mapped(df: DataFrame, each: Callable[[pa.RecordBatch], Iterable[dict]], schema: str) -> DataFrame:
     """mapInArrow with a function from a batch of some rows to dicts of columns."""
+    lean(df.sparkSession)
     names = [f.strip().split(" ")[0] for f in schema.split(",")]
 
     def run(it):

@@ -11,8 +11,8 @@ Skipping by answers: in the first round every set is compared with one leader of
 alike. What a set shares with its leader is an answer from which its relation to the leader's other answers derives:
 two sets that share x and y shingles with a leader share at most x and what the other has outside the leader, so most
 such pairs are not compared. Sets found similar are a group, whose members' pairs are answered and never formed. Later
-rounds compare each set with its nearest neighbour of another group in its lists, one pair for each set, until hardly
-any link is found; then all pairs across groups that are left are listed, in blocks, and verified, closest first.
+rounds compare each set with a few neighbours of other groups in its lists, near ones first; then all pairs across
+groups that are left are listed, in blocks, and verified, closest first.
 
 Before whole sets are verified, a pair must pass by parity bitmaps of 512 bits, whose differing bits are a lower bound
 of the sets' difference. Identical sets are one class from the start.
@@ -37,6 +37,8 @@ BITMAP_WORDS = 8
 ID_BITS = 1 << 23
 #: Entries of a list that are compared with each other at once, and those whose bounds are taken together.
 SEGMENT, BLOCK = 4096, 16
+#: Rounds between groups: how far in its lists a set looks for neighbours, and how many it asks.
+ROUNDS = ((4, 2), (16, 4), (64, 16), (256, 16))
 _U = np.uint64
 _MIX = (_U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB))
 
@@ -222,20 +224,29 @@ def _led(num: int, den: int):
     return run
 
 
-def _beside(num: int, den: int):
-    """Of entries in the order of lists: (a, b, c) with a < b, neighbours of two groups."""
+def _beside(num: int, den: int, far: int):
+    """Of entries in the order of lists: (a, b, c) with a < b, pairs of two groups at most so many places apart."""
 
     def run(it):
-        last = None
+        last, old = None, 0
         for batch in common.batches(it):
             rows = _columns(batch)
             if last is not None:
                 rows = [np.concatenate([x, y]) for x, y in zip(last, rows, strict=True)]
             token, ident, n, pos, g, leader, shared = rows
-            last = [x[-1:] for x in rows]
-            i = np.flatnonzero((token[1:] == token[:-1]) & (g[1:] != g[:-1]))
-            i = i[_reach(n[i], pos[i], n[i + 1], pos[i + 1], num, den) & _derived(i, i + 1, n, leader, shared, num, den)]
-            yield _counted(np.minimum(ident[i], ident[i + 1]), np.maximum(ident[i], ident[i + 1]))
+            a, b = [], []
+            for step in range(1, min(far, len(token) - 1) + 1):
+                # pairs of the rows held over were formed with their batch
+                i = np.arange(max(0, old - step), len(token) - step)
+                i = i[(token[i + step] == token[i]) & (g[i + step] != g[i])]
+                i = i[_reach(n[i], pos[i], n[i + step], pos[i + step], num, den)]
+                i = i[_derived(i, i + step, n, leader, shared, num, den)]
+                a.append(np.minimum(ident[i], ident[i + step]))
+                b.append(np.maximum(ident[i], ident[i + step]))
+            last = [x[-far:] for x in rows]
+            old = len(last[0])
+            if a:
+                yield _counted(np.concatenate(a), np.concatenate(b))
 
     return run
 
@@ -324,9 +335,9 @@ class _Join:
         spark = docs.sparkSession
         self.groups = spark.createDataFrame([], "id long, component long")
         self.answers = spark.createDataFrame([], "id long, leader long, shared long")
-        self.tried = spark.createDataFrame([], "a long, b long")
+        #: For each set, those that it asked for; a few a round.
+        self.tried = spark.createDataFrame([], "x long, ys array<long>")
         self.whole: list[DataFrame] = []
-        self.found = 0
 
     def _sent(self, df: DataFrame) -> DataFrame:
         """A table to join with: broadcast while it has few rows, of a few numbers each."""
@@ -378,44 +389,44 @@ class _Join:
         found = self.verified(pairs)
         links = found.where("link").select("a", "b").distinct()
         n = links.count()
-        self.found += n
         if n:
             old = self.groups.select(F.col("id").alias("a"), F.col("component").alias("b"))
             self.groups = common.components(links.union(old), self.in_one_task).withColumnRenamed("node", "id")
         return found, n
 
-    def _ask(self, asked: DataFrame) -> DataFrame:
-        self.tried = common.stored(self.tried.union(asked.select("a", "b")), "tried", 1 + asked.count() // common.ROWS_A_FILE)
-        return asked
+    def _asked(self, picked: DataFrame) -> DataFrame:
+        """The pairs of picked(x, ys), which are noted."""
+        every = self.tried.union(picked).groupBy("x").agg(F.flatten(F.collect_list("ys")).alias("ys"))
+        self.tried = common.compact(every, "tried")[0]
+        pairs = picked.select("x", F.explode("ys").alias("y"))
+        return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
     def lead(self) -> None:
         """The first round: each set with the leader of most of its lists."""
         led = self.lists.sortWithinPartitions("token", "n", "id").mapInArrow(_led(self.num, self.den), "a long, b long, c long")
         led = led.repartition("a").groupBy("a", "b").agg(F.sum("c").alias("c")).groupBy("a").agg(F.max_by("b", F.struct("c", F.xxhash64("b"))).alias("b"))
-        led = common.kept(led)
-        self._ask(led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        led = common.compact(led, "led")[0]
+        self._asked(led.select(F.col("a").alias("x"), F.array("b").alias("ys")))
         # a set is asked about its leader in this order, so that its answer is its own
         found, _ = self.compare(common.compact(self.close(led).select("a", "b"), "close")[0])
         own = found.select(F.col("a").alias("id"), F.col("b").alias("leader"), "shared")
         heads = found.select(F.col("b").alias("id"), F.col("b").alias("leader"), F.col("nb").alias("shared")).distinct().join(own.select("id"), "id", "left_anti")
         self.answers = common.compact(own.union(heads), "answers")[0]
-        led.unpersist()
 
-    def neighbours(self, most: int) -> bool:
-        """A round: each set with its nearest neighbours of other groups in most of its lists; whether it paid."""
-        near = self.entries().sortWithinPartitions("token", "n", "id").mapInArrow(_beside(self.num, self.den), "a long, b long, c long")
+    def neighbours(self, far: int, most: int) -> int:
+        """A round: each set with neighbours of other groups, at most so far in most of its lists; how many pairs it formed."""
+        near = self.entries().sortWithinPartitions("token", "n", "id").mapInArrow(_beside(self.num, self.den, far), "a long, b long, c long")
         near = near.groupBy("a", "b").agg(F.sum("c").alias("c"))
-        # a set has two neighbours in a list and some lists, so few in all
-        both = near.select("*", F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("p"))
-        best = both.groupBy("p.x").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", F.xxhash64("a", "b").alias("h"), "p.y")), False), 1, most).alias("best"))
-        best = best.select("x", F.explode("best.y").alias("y"))
-        best = best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        asked, n = common.compact(best.join(self._sent(self.tried), ["a", "b"], "left_anti"), "asked")
-        if not n:
-            return False
-        self._ask(asked)
-        close, _ = common.compact(self.close(asked).select("a", "b"), "close")
-        return 10 * self.compare(close)[1] > self.found
+        # a set has so many neighbours in a list, and some lists, so few in all
+        ways = F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y"))))
+        found = near.select("a", "b", "c", ways.alias("p")).groupBy("p.x").agg(F.collect_list(F.struct("c", F.xxhash64("a", "b").alias("h"), "p.y")).alias("found"))
+        found = found.join(self._sent(self.tried), "x", "left")
+        fresh = F.filter("found", lambda e: ~F.array_contains(F.coalesce("ys", F.array().cast("array<long>")), e.y))
+        picked = found.select("x", F.transform(F.slice(F.sort_array(fresh, False), 1, most), lambda e: e.y).alias("ys")).where(F.size("ys") > 0)
+        picked, n = common.compact(picked, "picked")
+        if n:
+            self.compare(common.compact(self.close(self._asked(picked)).select("a", "b"), "close")[0])
+        return n
 
     def finish(self) -> None:
         """All pairs across groups that lists, bounds, derived answers and bitmaps leave."""
@@ -437,8 +448,7 @@ class _Join:
             meet = meet.select("token", "i", "j", F.col("i").alias("seg")).union(meet.where("i <> j").select("token", "i", "j", F.col("j").alias("seg")))
             parts = long_.select(*_ENTRY, "seg").join(meet, ["token", "seg"]).select(*_ENTRY, "i", "j", "seg").repartition("token", "i", "j")
             found = found.union(parts.sortWithinPartitions("token", "i", "j", "n", "id").mapInArrow(_across(num, den, BLOCK), "a long, b long, c long"))
-        pairs = found.select("a", "b").distinct().join(self._sent(self.tried), ["a", "b"], "left_anti")
-        pairs, left = common.compact(self.close(pairs), "rest")
+        pairs, left = common.compact(self.close(found.select("a", "b").distinct()), "rest")
         rows.unpersist()
         most = 4
         while left:
@@ -483,9 +493,10 @@ def classes(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, in_one_tas
     join = _Join(docs, lists, marks, k, num, den, in_one_task, segment)
     if not lists.isEmpty():
         join.lead()
-        most = 1
-        while join.neighbours(most):
-            most += 1
+        # neighbours first, then ever farther: what is near is most alike, and groups found make the rest few
+        for far, most in ROUNDS:
+            if not join.neighbours(far, most):
+                break
         join.finish()
     lists.unpersist()
     marks.unpersist()

@@ -102,13 +102,18 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = PE
 
 
 def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = PERCENT, repeats: int = REPEATS) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, all its columns as they are."""
+    """The mix itself: each row of docs as often as it is taken, all its columns as they are, whatever their names.
+
+    Null texts have no words and a null source is one of its own, as in mixed(); an empty table stays empty.
+    """
     rows = common.kept(sized(docs))
     plan = common.stored(thresholds(rows, common.stored(targets(rows, weights, percent, repeats), "targets", 1), repeats), "plan", 1)
-    plan = plan.select(F.col("source").alias("_s"), F.col("whole").alias("_whole"), F.col("threshold").alias("_threshold"))
-    out = docs.withColumn("_h", hashed(F.col("doc_id"), F.col("text"))).join(plan, F.col("source").eqNullSafe(F.col("_s")))
-    times = F.col("_whole") + (F.col("_h") < F.col("_threshold")).cast("int")
-    return out.withColumn("_n", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*[out[c] for c in docs.columns])
+    # names that docs does not have
+    s, whole, threshold, h, n = (common.fresh(f"mix_{x}", docs) for x in ("source", "whole", "threshold", "hash", "n"))
+    plan = plan.select(F.col("source").alias(s), F.col("whole").alias(whole), F.col("threshold").alias(threshold))
+    out = docs.withColumn(h, hashed(F.col("doc_id"), F.col("text"))).join(plan, F.col("source").eqNullSafe(F.col(s)))
+    times = F.col(whole) + (F.col(h) < F.col(threshold)).cast("int")
+    return out.withColumn(n, F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*[out[c] for c in docs.columns])
 
 
 ORACLE = r"""

@@ -28,18 +28,21 @@ class Bands:
     """Limits of the ratio of bytes to compressed bytes.
 
     ``limits``: (binary logarithm of the bytes, least, most), between which limits are interpolated. They come from
-    the ratios of documents labelled good: most is just above nearly all of them, least well below all.
+    the ratios of documents labelled good: most is just above nearly all of them, least well below all. Beyond 93 KB
+    the upper limit rises by 0.16 with each doubling, above the ratios of good documents of a language joined to texts
+    of up to 5 MB. What remains after the last whole chunk is judged by the limits of its own length, from ``tail`` on.
     """
 
     level: int = 3
     chunk: int = 2048
+    tail: int = 256
     chunk_least: float = 1.5
     chunk_most: float = 2.14
     limits: tuple[tuple[float, float, float], ...] = field(
         default=(
             (8.0, 1.10, 1.93), (8.5, 1.20, 1.93), (9.0, 1.28, 1.95), (9.5, 1.35, 2.01), (10.0, 1.42, 2.07), (10.5, 1.50, 2.13),
             (11.0, 1.58, 2.19), (11.5, 1.64, 2.24), (12.0, 1.70, 2.30), (12.5, 1.76, 2.35), (13.0, 1.82, 2.41), (13.5, 1.86, 2.44),
-            (14.0, 1.90, 2.47), (14.5, 1.93, 2.51), (15.0, 1.96, 2.55), (15.5, 1.98, 2.57), (16.5, 2.00, 2.61),
+            (14.0, 1.90, 2.47), (14.5, 1.93, 2.51), (15.0, 1.96, 2.55), (15.5, 1.98, 2.57), (16.5, 2.00, 2.61), (24.5, 2.00, 3.89),
         )
     )
 
@@ -78,17 +81,25 @@ class Judge:
     def ratio(self, part: bytes | memoryview) -> float:
         return len(part) / len(self.zstd.compress(part)) if len(part) else 0.0
 
+    def fits(self, size: int, ratio: float) -> bool:
+        """Whether a ratio is within the limits of a length."""
+        at = np.log2(size)
+        return bool(np.interp(at, self.at, self.least) <= ratio <= np.interp(at, self.at, self.most))
+
     def __call__(self, text: bytes | None) -> tuple[bool, float, int, int]:
         """Whether the text is within its bands, its ratio, and how many of its chunks are outside, of how many."""
         if not text:
             return False, 0.0, 0, 0
         b, whole = self.bands, self.ratio(text)
-        size = np.log2(len(text))
-        fits = np.interp(size, self.at, self.least) <= whole <= np.interp(size, self.at, self.most)
+        fits = self.fits(len(text), whole)
         view = memoryview(text)
         ratios = [self.ratio(view[i : i + b.chunk]) for i in range(0, len(text) - b.chunk + 1, b.chunk)]
-        outside = sum(not b.chunk_least <= r <= b.chunk_most for r in ratios)
-        return bool(fits and 2 * outside <= len(ratios)), whole, outside, len(ratios)
+        inside = [b.chunk_least <= r <= b.chunk_most for r in ratios]
+        rest = view[len(ratios) * b.chunk :]
+        if ratios and len(rest) >= b.tail:
+            inside.append(self.fits(len(rest), self.ratio(rest)))
+        outside = inside.count(False)
+        return fits and 2 * outside <= len(inside), whole, outside, len(inside)
 
 
 def judged(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
@@ -114,7 +125,10 @@ def judged(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
 
 
 def passing(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
-    """The rows of docs that are kept, all their columns as they are."""
+    """The rows of docs that are kept, all their columns as they are, whatever their names.
+
+    Null and empty texts go. Rows that repeat are judged alike; an empty table stays empty.
+    """
     at = docs.columns.index("text")
 
     def run(it):
@@ -126,4 +140,4 @@ def passing(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
                 keep.append(not (stats[0] < 50 or 100 * stats[4] > 50 * stats[0]) and judge(text)[0])
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.trimmed(run), docs.schema)

@@ -104,7 +104,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = tokens.END) ->
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
 
     # bytes pass the text writer as they are
-    rows.mapInArrow(run, "frame binary").select(F.col("frame").cast("string")).write.option("lineSep", "\n").text(f"{path}/data")
+    rows.mapInArrow(common.trimmed(run), "frame binary").select(F.col("frame").cast("string")).write.option("lineSep", "\n").text(f"{path}/data")
 
 
 def _scan(spark: SparkSession, path: str) -> DataFrame:
@@ -128,7 +128,7 @@ def _scan(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 65536], strict=True), [pa.string(), *[pa.int64()] * 8], strict=True)], names=list(_INDEX))
 
     files = spark.read.format("binaryFile").load(f"{path}/data").select("path", "content")
-    return files.mapInArrow(run, ", ".join(f"{n} {'string' if n == 'file' else 'long'}" for n in _INDEX))
+    return files.mapInArrow(common.trimmed(run), ", ".join(f"{n} {'string' if n == 'file' else 'long'}" for n in _INDEX))
 
 
 _INDEX = ("file", "shard", "ordinal", "doc_id", "offset", "bytes", "before", "n_tokens", "ids_crc32")

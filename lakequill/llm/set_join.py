@@ -98,7 +98,7 @@ def _summed(it):
 
 def rarity(docs: DataFrame) -> np.ndarray:
     """For each slot of words, then of pairs, 8 times the binary logarithm of what was counted there."""
-    counts = docs.select("text").mapInArrow(_histogram, "part int, counts binary")
+    counts = docs.select("text").mapInArrow(common.trimmed(_histogram), "part int, counts binary")
     out = np.zeros((WORD_SLOTS + PAIR_SLOTS) // _CHUNK * _CHUNK, dtype=np.uint8).reshape(-1, _CHUNK)
     for part, logs in counts.repartition(len(out), "part").mapInArrow(_summed, "part int, counts binary").collect():
         out[part] = np.frombuffer(bytes(logs), dtype=np.uint8)

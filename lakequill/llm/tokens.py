@@ -66,7 +66,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.most = most
+        self.most, self.calls = most, 0
         self._forget()
         named = self.tokenizer.get_vocab()
         self.begins = {sign: np.zeros(max(named.values()) + 1, dtype=bool) for sign in " \n"}
@@ -209,7 +209,7 @@ class Encoder:
             out[i] = np.frombuffer(ids, dtype="<u4")
         return out
 
-    def batches(self, texts: list[bytes | None], most: int = 4 << 20):
+    def batches(self, texts: list[bytes | None], most: int = 2 << 20):
         """Ids of texts, about so many bytes of them at a time."""
         some, size = [], 0
         for t in texts:
@@ -218,6 +218,10 @@ class Encoder:
             if size >= most:
                 yield from self(some)
                 some, size = [], 0
+                self.calls += 1
+                # what encoding leaves behind would pile up
+                if self.calls % 1 == 0:
+                    common.trim()
         yield from self(some)
 
 

@@ -59,8 +59,8 @@ STATEMENTS: dict[str, str | tuple[str, str]] = {
     "glob_match": ("SELECT p_partkey, p_brand FROM part WHERE p_brand GLOB 'Brand#[12]?' OR p_name GLOB '*a*z*'", "SELECT p_partkey, p_brand FROM part WHERE p_brand GLOB 'Brand#[12]?' OR p_name GLOB '*a*z*'"),
     "null_tests": ("SELECT o_orderkey, nullif(o_orderstatus, 'F') IS NULL AS a, nullif(o_orderstatus, 'F') IS NOT NULL AS b, nullif(o_orderstatus, 'F') IS 'O' AS c, nullif(o_orderstatus, 'F') IS NOT 'O' AS d FROM orders",
         "SELECT o_orderkey, CAST(o_orderstatus = 'F' AS BIGINT) AS a, CAST(o_orderstatus <> 'F' AS BIGINT) AS b, CAST(nullif(o_orderstatus, 'F') IS NOT DISTINCT FROM 'O' AS BIGINT) AS c, CAST(nullif(o_orderstatus, 'F') IS DISTINCT FROM 'O' AS BIGINT) AS d FROM orders"),
-    "three_valued_logic": ("SELECT o_orderkey, nullif(o_orderkey, 1) > 0 AND o_orderkey < 0 AS a, nullif(o_orderkey, 1) > 0 OR o_orderkey > 0 AS b, NOT nullif(o_orderkey, 1) > 5 AS c, nullif(o_orderkey, 1) IN (2, NULL) AS d FROM orders WHERE o_orderkey < 100",
-        "SELECT o_orderkey, CAST(nullif(o_orderkey, 1) > 0 AND o_orderkey < 0 AS BIGINT) AS a, CAST(nullif(o_orderkey, 1) > 0 OR o_orderkey > 0 AS BIGINT) AS b, CAST(NOT nullif(o_orderkey, 1) > 5 AS BIGINT) AS c, CAST(nullif(o_orderkey, 1) IN (2, NULL) AS BIGINT) AS d FROM orders WHERE o_orderkey < 100"),
+    "three_valued_logic": ("SELECT o_orderkey, nullif(o_orderkey, 1) > 0 AND o_orderkey < 0 AS a, nullif(o_orderkey, 1) > 0 OR o_orderkey > 0 AS b, NOT nullif(o_orderkey, 1) > 5 AS c, nullif(o_orderkey, 1) IN (2, NULL) AS d FROM orders",
+        "SELECT o_orderkey, CAST(nullif(o_orderkey, 1) > 0 AND o_orderkey < 0 AS BIGINT) AS a, CAST(nullif(o_orderkey, 1) > 0 OR o_orderkey > 0 AS BIGINT) AS b, CAST(NOT nullif(o_orderkey, 1) > 5 AS BIGINT) AS c, CAST(nullif(o_orderkey, 1) IN (2, NULL) AS BIGINT) AS d FROM orders"),
     "case_simple": ("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE 'other' END AS s, CASE o_orderstatus WHEN 'F' THEN 1 END AS n FROM orders",
         "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE 'other' END AS s, CAST(CASE o_orderstatus WHEN 'F' THEN 1 END AS BIGINT) AS n FROM orders"),
     "case_searched": ("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal < 5000 THEN 'some' ELSE 'rich' END AS k FROM customer",) * 2,
@@ -77,7 +77,7 @@ STATEMENTS: dict[str, str | tuple[str, str]] = {
     "left_join": ("SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'P'",) * 2,
     "left_join_is_null": ("SELECT c_custkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'P' WHERE o_orderkey IS NULL",) * 2,
     "right_join": ("SELECT s_suppkey, c_custkey FROM supplier RIGHT JOIN customer ON s_suppkey = c_custkey",) * 2,
-    "full_join": ("SELECT s_suppkey, p_partkey FROM supplier FULL OUTER JOIN part ON s_suppkey = p_partkey - 50 WHERE s_suppkey IS NULL OR p_partkey IS NULL OR p_partkey < 60",) * 2,
+    "full_join": ("SELECT s_suppkey, p_partkey FROM supplier FULL OUTER JOIN part ON s_suppkey = p_partkey - 50",) * 2,
     "cross_join": ("SELECT n_name, r_name FROM nation CROSS JOIN region",) * 2,
     "comma_join": ("SELECT n_name, s_name FROM nation, supplier WHERE n_nationkey = s_nationkey",) * 2,
     "using_join": ("SELECT k, c, o FROM (SELECT c_custkey AS k, c_name AS c FROM customer) a JOIN (SELECT o_custkey AS k, o_orderkey AS o FROM orders) b USING (k)",) * 2,
@@ -116,7 +116,7 @@ STATEMENTS: dict[str, str | tuple[str, str]] = {
     "semi_exists": ("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = customer.c_custkey AND o_orderstatus = 'P')",) * 2,
     "anti_not_exists": ("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = customer.c_custkey AND o_orderstatus = 'P')",) * 2,
     "anti_not_in": ("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')",) * 2,
-    "not_in_with_null": ("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT nullif(o_custkey, 1) FROM orders WHERE o_orderkey < 50)",) * 2,
+    "not_in_with_null": ("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT nullif(o_custkey, 1) FROM orders)",) * 2,
     "scalar_subquery": ("SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) FROM orders)",) * 2,
     "scalar_first_row": ("SELECT n_name, (SELECT r_name FROM region ORDER BY r_name) AS f FROM nation", "SELECT n_name, (SELECT min(r_name) FROM region) AS f FROM nation"),
     "correlated_scalar": ("SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS k, (SELECT max(o_totalprice) FROM orders WHERE o_custkey = c_custkey) AS m FROM customer",) * 2,
@@ -146,8 +146,8 @@ STATEMENTS: dict[str, str | tuple[str, str]] = {
     "except": ("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'",) * 2,
     "compound_left_to_right": ("SELECT 1 AS x UNION SELECT 2 INTERSECT SELECT 2 EXCEPT SELECT 3", "SELECT CAST(2 AS BIGINT) AS x"),
     "compound_order": ("SELECT c_custkey AS k FROM customer UNION SELECT s_suppkey FROM supplier ORDER BY k DESC LIMIT 7",) * 2,
-    "intersect_all": ("SELECT l_linestatus AS x FROM lineitem WHERE l_orderkey < 50 INTERSECT ALL SELECT o_orderstatus FROM orders WHERE o_orderkey < 100",) * 2,
-    "except_all": ("SELECT l_linestatus AS x FROM lineitem WHERE l_orderkey < 50 EXCEPT ALL SELECT o_orderstatus FROM orders WHERE o_orderkey < 30",) * 2,
+    "intersect_all": ("SELECT l_linestatus AS x FROM lineitem INTERSECT ALL SELECT o_orderstatus FROM orders",) * 2,
+    "except_all": ("SELECT l_linestatus AS x FROM lineitem EXCEPT ALL SELECT o_orderstatus FROM orders",) * 2,
     # functions
     "text_functions": ("SELECT c_custkey, length(c_name) AS a, upper(c_name) AS b, lower(c_mktsegment) AS c, substr(c_name, 3, 4) AS d, substr(c_name, 0, 3) AS e, substr(c_name, -3) AS f, instr(c_name, '00') AS g, replace(c_name, '0', 'x') AS h, trim('  ' || c_name || ' ') AS i, ltrim(' a ') AS j, rtrim(' a ') AS k FROM customer",
         "SELECT c_custkey, length(c_name) AS a, upper(c_name) AS b, lower(c_mktsegment) AS c, substr(c_name, 3, 4) AS d, substr(c_name, 1, 2) AS e, right(c_name, 3) AS f, instr(c_name, '00') AS g, replace(c_name, '0', 'x') AS h, c_name AS i, 'a ' AS j, ' a' AS k FROM customer"),
@@ -160,11 +160,11 @@ STATEMENTS: dict[str, str | tuple[str, str]] = {
     "printf": ("SELECT n_nationkey, printf('%d: %s (%f) 100%%', n_nationkey, n_name, 1.5) AS p FROM nation", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_nationkey || ': ' || n_name || ' (1.500000) 100%' AS p FROM nation"),
     "date_functions": ("SELECT event_id, date(event_id * 86400) AS d, time(event_id * 61) AS t, datetime(event_id * 3601) AS dt, julianday(event_id * 43200) AS j, unixepoch(date(event_id * 86400)) AS u FROM events",
         "SELECT event_id, strftime(make_timestamp(event_id * 86400000000), '%Y-%m-%d') AS d, strftime(make_timestamp(event_id * 61000000), '%H:%M:%S') AS t, strftime(make_timestamp(event_id * 3601000000), '%Y-%m-%d %H:%M:%S') AS dt, event_id * 43200 / 86400.0::DOUBLE + 2440587.5::DOUBLE AS j, event_id * 86400 AS u FROM events"),
-    "date_modifiers": ("SELECT event_id, date(event_id * 86400, '+1 month') AS a, date(event_id * 86400, 'start of month') AS b, date(event_id * 86400, 'start of year', '+10 days') AS c, datetime(event_id * 86400, '-90 minutes') AS d, date(event_id * 86400, '+1 year') AS e FROM events WHERE event_id < 3000",
-        "SELECT event_id, strftime(make_timestamp(event_id * 86400000000) + INTERVAL 1 MONTH, '%Y-%m-%d') AS a, strftime(date_trunc('month', make_timestamp(event_id * 86400000000)), '%Y-%m-%d') AS b, strftime(date_trunc('year', make_timestamp(event_id * 86400000000)) + INTERVAL 10 DAY, '%Y-%m-%d') AS c, strftime(make_timestamp(event_id * 86400000000) - INTERVAL 90 MINUTE, '%Y-%m-%d %H:%M:%S') AS d, strftime(make_timestamp(event_id * 86400000000) + INTERVAL 1 YEAR, '%Y-%m-%d') AS e FROM events WHERE event_id < 3000"),
+    "date_modifiers": ("SELECT event_id, date(event_id % 36500 * 86400, '+1 month') AS a, date(event_id % 36500 * 86400, 'start of month') AS b, date(event_id % 36500 * 86400, 'start of year', '+10 days') AS c, datetime(event_id % 36500 * 86400, '-90 minutes') AS d, date(event_id % 36500 * 86400, '+1 year') AS e FROM events",
+        "SELECT event_id, strftime(make_timestamp((event_id % 36500) * 86400000000) + INTERVAL 1 MONTH, '%Y-%m-%d') AS a, strftime(date_trunc('month', make_timestamp((event_id % 36500) * 86400000000)), '%Y-%m-%d') AS b, strftime(date_trunc('year', make_timestamp((event_id % 36500) * 86400000000)) + INTERVAL 10 DAY, '%Y-%m-%d') AS c, strftime(make_timestamp((event_id % 36500) * 86400000000) - INTERVAL 90 MINUTE, '%Y-%m-%d %H:%M:%S') AS d, strftime(make_timestamp((event_id % 36500) * 86400000000) + INTERVAL 1 YEAR, '%Y-%m-%d') AS e FROM events"),
     "strftime": ("SELECT event_id, strftime('%Y/%m/%d %H-%M-%S %j %w %s %%', event_id * 90061) AS f FROM events",
         "SELECT event_id, strftime(make_timestamp(event_id * 90061000000), '%Y/%m/%d %H-%M-%S %j %w ') || event_id * 90061 || ' %' AS f FROM events"),
-    "bind_free_constants": ("SELECT o_orderkey, 0x1F AS a, 1e2 AS b, '' IS NULL AS c, 'it''s' AS d FROM orders WHERE o_orderkey < 20", "SELECT o_orderkey, CAST(31 AS BIGINT) AS a, CAST(100 AS DOUBLE) AS b, CAST(0 AS BIGINT) AS c, 'it''s' AS d FROM orders WHERE o_orderkey < 20"),
+    "bind_free_constants": ("SELECT o_orderkey, 0x1F AS a, 1e2 AS b, '' IS NULL AS c, 'it''s' AS d FROM orders", "SELECT o_orderkey, CAST(31 AS BIGINT) AS a, CAST(100 AS DOUBLE) AS b, CAST(0 AS BIGINT) AS c, 'it''s' AS d FROM orders"),
     "shipping_priority": ("SELECT o_orderkey, sum(l_quantity) AS q FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE c_mktsegment = 'BUILDING' AND o_orderdate < '1998-03-15' GROUP BY o_orderkey ORDER BY q DESC, o_orderkey LIMIT 10",
         "SELECT o_orderkey, sum(l_quantity) AS q FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE c_mktsegment = 'BUILDING' AND o_orderdate < TIMESTAMP '1998-03-15' GROUP BY o_orderkey ORDER BY q DESC, o_orderkey LIMIT 10"),
 }
@@ -172,8 +172,8 @@ STATEMENTS: dict[str, str | tuple[str, str]] = {
 # name: statements, the last of which is the result's query; and the independent engine's SQL for the same rows
 SCRIPTS: dict[str, tuple[list[str], str]] = {
     "insert_select": (
-        ["CREATE TABLE t (id INTEGER PRIMARY KEY, status TEXT, price REAL)", "INSERT INTO t SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 3 = 0", "SELECT id, status, price FROM t"],
-        "SELECT o_orderkey AS id, o_orderstatus AS status, o_totalprice AS price FROM orders WHERE o_orderkey % 3 = 0",
+        ["CREATE TABLE t (id INTEGER PRIMARY KEY, status TEXT, price REAL)", "INSERT INTO t SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders", "SELECT id, status, price FROM t"],
+        "SELECT o_orderkey AS id, o_orderstatus AS status, o_totalprice AS price FROM orders",
     ),
     "insert_values_defaults": (
         ["CREATE TABLE t (id INTEGER PRIMARY KEY, a TEXT DEFAULT 'd', b INTEGER)", "INSERT INTO t (b) VALUES (5), (6)", "INSERT INTO t DEFAULT VALUES", "INSERT INTO t VALUES (10, 'x', NULL)", "INSERT INTO t (a) VALUES ('y')", "SELECT id, a, b FROM t"],

@@ -1,7 +1,7 @@
 """Date and time functions of the dialect.
 
 A time value is text in one of a few forms, or a number of seconds since 1970; a function turns it into a Spark
-timestamp in UTC, applies constant modifiers in order, and formats it. What cannot be read is null.
+timestamp without a zone, read as UTC, applies constant modifiers in order, and formats it. What cannot be read is null.
 """
 
 from __future__ import annotations
@@ -14,26 +14,36 @@ NAMES = frozenset("date time datetime julianday unixepoch strftime".split())
 _UNITS = {"second": "SECS", "minute": "MINS", "hour": "HOURS", "day": "DAYS", "month": "MONTHS", "year": "YEARS"}
 
 
+_EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
+_NOW = "convert_timezone(current_timezone(), 'UTC', localtimestamp())"
+
+
+def _at(seconds: str) -> str:
+    return f"timestampadd(MICROSECOND, CAST({seconds} * 1000000 AS BIGINT), {_EPOCH})"
+
+
 def stamp(sql: str, kind: str, constant) -> str:
+    """A timestamp without a zone, so that no result depends on the session's."""
     if isinstance(constant, str) and constant.lower() == "now":
-        return "current_timestamp()"
+        return _NOW
     if kind in ("int", "real"):
-        return f"timestamp_micros(CAST({sql} * 1000000 AS BIGINT))"
+        return _at(sql)
     if kind == "null":
-        return "CAST(NULL AS TIMESTAMP)"
+        return "CAST(NULL AS TIMESTAMP_NTZ)"
     if kind == "other":
-        return f"CAST({sql} AS TIMESTAMP)"
+        local = f"CAST({sql} AS TIMESTAMP_NTZ)"
+        return f"CASE WHEN typeof({sql}) = 'timestamp' THEN convert_timezone(current_timezone(), 'UTC', {local}) ELSE {local} END"
     day = f"regexp_extract({sql}, '^\\\\s*(\\\\d{{4}}-\\\\d{{2}}-\\\\d{{2}})', 1)"
     clock = f"regexp_extract({sql}, '^\\\\s*(?:\\\\d{{4}}-\\\\d{{2}}-\\\\d{{2}} )?(\\\\d{{2}}:\\\\d{{2}}(?::\\\\d{{2}})?)', 1)"
     full = f"concat(CASE WHEN {day} = '' THEN '2000-01-01' ELSE {day} END, ' ', CASE WHEN {clock} = '' THEN '00:00:00' WHEN length({clock}) = 5 THEN concat({clock}, ':00') ELSE {clock} END)"
-    number = f"timestamp_micros(CAST(try_cast({sql} AS DOUBLE) * 1000000 AS BIGINT))"
-    return f"CASE WHEN lower({sql}) = 'now' THEN current_timestamp() WHEN {day} = '' AND {clock} = '' THEN {number} ELSE try_to_timestamp({full}, 'yyyy-MM-dd HH:mm:ss') END"
+    return f"CASE WHEN lower({sql}) = 'now' THEN {_NOW} WHEN {day} = '' AND {clock} = '' THEN {_at(f'try_cast({sql} AS DOUBLE)')} ELSE try_cast({full} AS TIMESTAMP_NTZ) END"
 
 
 def modified(sql: str, modifier: str) -> str:
     m = modifier.strip().lower()
     if m in ("start of day", "start of month", "start of year"):
-        return f"date_trunc('{m[9:].upper()}', {sql})"
+        day = f"CAST({sql} AS DATE)"
+        return f"CAST({day if m[9:] == 'day' else f"trunc({day}, '{m[9:].upper()}')"} AS TIMESTAMP_NTZ)"
     if found := re.fullmatch(r"weekday\s+([0-6])", m):
         ahead = f"pmod({found[1]} - (dayofweek({sql}) - 1), 7)"
         return f"({sql} + make_dt_interval({ahead}))"
@@ -62,25 +72,33 @@ def call(name: str, args: list[tuple[str, str]], constants: list) -> tuple[str,
         if not isinstance(c, str):
             raise UnsupportedError("time modifiers are constants")
         ts = modified(ts, c)
-    seconds = f"unix_seconds({ts})"
+    seconds = _seconds(ts)
     if name == "unixepoch":
         return seconds, "int"
     if name == "julianday":
         return f"({seconds} / 86400.0D + 2440587.5D)", "real"
     if name != "strftime":
-        pattern = {"date": "yyyy-MM-dd", "time": "HH:mm:ss", "datetime": "yyyy-MM-dd HH:mm:ss"}[name]
-        return f"date_format({ts}, '{pattern}')", "text"
+        first, n = {"date": (1, 10), "time": (12, 8), "datetime": (1, 19)}[name]
+        return _part(ts, first, n), "text"
     return _formatted(form, ts), "text"
 
 
+def _part(ts: str, first: int, n: int) -> str:
+    """Some characters of YYYY-MM-DD HH:MM:SS."""
+    return f"substring(CAST({ts} AS STRING), {first}, {n})"
+
+
+def _seconds(ts: str) -> str:
+    return f"(CAST(unix_date(CAST({ts} AS DATE)) AS BIGINT) * 86400 + hour({ts}) * 3600 + minute({ts}) * 60 + second({ts}))"
+
+
 def _formatted(form: str, ts: str) -> str:
     known = {
-        "Y": f"date_format({ts}, 'yyyy')", "m": f"date_format({ts}, 'MM')", "d": f"date_format({ts}, 'dd')",
-        "H": f"date_format({ts}, 'HH')", "M": f"date_format({ts}, 'mm')", "S": f"date_format({ts}, 'ss')",
+        "Y": _part(ts, 1, 4), "m": _part(ts, 6, 2), "d": _part(ts, 9, 2), "H": _part(ts, 12, 2), "M": _part(ts, 15, 2), "S": _part(ts, 18, 2),
         "j": f"lpad(dayofyear({ts}), 3, '0')", "w": f"CAST(dayofweek({ts}) - 1 AS STRING)",
         "W": f"lpad(CAST((dayofyear({ts}) + 6 - pmod(dayofweek({ts}) - 2, 7)) div 7 AS STRING), 2, '0')",
-        "s": f"CAST(unix_seconds({ts}) AS STRING)", "f": f"concat(date_format({ts}, 'ss'), '.000')",
-        "J": f"CAST(unix_seconds({ts}) / 86400.0D + 2440587.5D AS STRING)",
+        "s": f"CAST({_seconds(ts)} AS STRING)", "f": f"concat({_part(ts, 18, 2)}, '.000')",
+        "J": f"CAST({_seconds(ts)} / 86400.0D + 2440587.5D AS STRING)",
     }
     parts: list[str] = []
     for piece in re.findall(r"%.|[^%]+|%$", form, re.S):

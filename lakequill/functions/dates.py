@@ -14,6 +14,8 @@ NAMES = frozenset("date time datetime julianday unixepoch strftime".split())
 _UNITS = {"second": "SECS", "minute": "MINS", "hour": "HOURS", "day": "DAYS", "month": "MONTHS", "year": "YEARS"}
 
 
+#: A day as text: years beyond 9999 have more digits, those before 0 a sign and no padding.
+_DAY = r"(?:-\\d{1,6}|\\d{4,6})-\\d{2}-\\d{2}"
 _EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
 _NOW = "convert_timezone(current_timezone(), 'UTC', localtimestamp())"
 
@@ -33,9 +35,9 @@ def stamp(sql: str, kind: str, constant) -> str:
     if kind == "other":
         local = f"CAST({sql} AS TIMESTAMP_NTZ)"
         return f"CASE WHEN typeof({sql}) = 'timestamp' THEN convert_timezone(current_timezone(), 'UTC', {local}) ELSE {local} END"
-    day = f"regexp_extract({sql}, '^\\\\s*(\\\\d{{4}}-\\\\d{{2}}-\\\\d{{2}})', 1)"
-    clock = f"regexp_extract({sql}, '^\\\\s*(?:\\\\d{{4}}-\\\\d{{2}}-\\\\d{{2}} )?(\\\\d{{2}}:\\\\d{{2}}(?::\\\\d{{2}})?)', 1)"
-    full = f"concat(CASE WHEN {day} = '' THEN '2000-01-01' ELSE {day} END, ' ', CASE WHEN {clock} = '' THEN '00:00:00' WHEN length({clock}) = 5 THEN concat({clock}, ':00') ELSE {clock} END)"
+    day = f"regexp_extract({sql}, '^\\\\s*({_DAY})', 1)"
+    clock = f"regexp_extract({sql}, '^\\\\s*(?:{_DAY} )?(\\\\d{{2}}:\\\\d{{2}}(?::\\\\d{{2}})?)', 1)"
+    full = f"concat(CASE WHEN {day} = '' THEN '2000-01-01' WHEN {sql} RLIKE '^\\\\s*-' THEN regexp_replace({day}, '^-(\\\\d{{1,3}}-)', '-000$1') ELSE {day} END, ' ', CASE WHEN {clock} = '' THEN '00:00:00' WHEN length({clock}) = 5 THEN concat({clock}, ':00') ELSE {clock} END)"
     return f"CASE WHEN lower({sql}) = 'now' THEN {_NOW} WHEN {day} = '' AND {clock} = '' THEN {_at(f'try_cast({sql} AS DOUBLE)')} ELSE try_cast({full} AS TIMESTAMP_NTZ) END"
 
 
@@ -78,8 +80,7 @@ def call(name: str, args: list[tuple[str, str]], constants: list) -> tuple[str,
     if name == "julianday":
         return f"({seconds} / 86400.0D + 2440587.5D)", "real"
     if name != "strftime":
-        first, n = {"date": (1, 10), "time": (12, 8), "datetime": (1, 19)}[name]
-        return _part(ts, first, n), "text"
+        form = {"date": "%Y-%m-%d", "time": "%H:%M:%S", "datetime": "%Y-%m-%d %H:%M:%S"}[name]
     return _formatted(form, ts), "text"
 
 
@@ -100,6 +101,12 @@ def _formatted(form: str, ts: str) -> str:
         "s": f"CAST({_seconds(ts)} AS STRING)", "f": f"concat({_part(ts, 18, 2)}, '.000')",
         "J": f"CAST({_seconds(ts)} / 86400.0D + 2440587.5D AS STRING)",
     }
+    # the plain forms take the timestamp once, since time functions that read them repeat their text
+    text = f"CAST({ts} AS STRING)"
+    if form == "%H:%M:%S":
+        return f"substring(substring_index({text}, ' ', -1), 1, 8)"
+    if end := {"%Y-%m-%d": " ", "%Y-%m-%d %H:%M:%S": "."}.get(form):
+        return f"regexp_replace(substring_index({text}, '{end}', 1), '^(-)0+|^[+]', '$1')"
     parts: list[str] = []
     for piece in re.findall(r"%.|[^%]+|%$", form, re.S):
         if piece[0] == "%" and piece[1:] in known:

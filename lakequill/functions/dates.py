@@ -85,8 +85,15 @@ def call(name: str, args: list[tuple[str, str]], constants: list) -> tuple[str,
 
 
 def _part(ts: str, first: int, n: int) -> str:
-    """Some characters of YYYY-MM-DD HH:MM:SS."""
-    return f"substring(CAST({ts} AS STRING), {first}, {n})"
+    """Some characters of MM-DD HH:MM:SS, which follow a year of any length."""
+    text = f"CAST({ts} AS STRING)"
+    return f"substring({text}, locate('-', {text}, 2) + {first}, {n})"
+
+
+def _year(ts: str) -> str:
+    """At least four digits; a year before 0 has its sign and no padding."""
+    year = f"year({ts})"
+    return f"CASE WHEN {year} BETWEEN 0 AND 9999 THEN lpad({year}, 4, '0') ELSE CAST({year} AS STRING) END"
 
 
 def _seconds(ts: str) -> str:
@@ -95,10 +102,10 @@ def _seconds(ts: str) -> str:
 
 def _formatted(form: str, ts: str) -> str:
     known = {
-        "Y": _part(ts, 1, 4), "m": _part(ts, 6, 2), "d": _part(ts, 9, 2), "H": _part(ts, 12, 2), "M": _part(ts, 15, 2), "S": _part(ts, 18, 2),
+        "Y": _year(ts), "m": _part(ts, 1, 2), "d": _part(ts, 4, 2), "H": _part(ts, 7, 2), "M": _part(ts, 10, 2), "S": _part(ts, 13, 2),
         "j": f"lpad(dayofyear({ts}), 3, '0')", "w": f"CAST(dayofweek({ts}) - 1 AS STRING)",
         "W": f"lpad(CAST((dayofyear({ts}) + 6 - pmod(dayofweek({ts}) - 2, 7)) div 7 AS STRING), 2, '0')",
-        "s": f"CAST({_seconds(ts)} AS STRING)", "f": f"concat({_part(ts, 18, 2)}, '.000')",
+        "s": f"CAST({_seconds(ts)} AS STRING)", "f": f"concat({_part(ts, 13, 2)}, '.000')",
         "J": f"CAST({_seconds(ts)} / 86400.0D + 2440587.5D AS STRING)",
     }
     # the plain forms take the timestamp once, since time functions that read them repeat their text

@@ -116,7 +116,7 @@ def pieces(docs: DataFrame, tokenizer: str, room: int = ROOM, end: int = tokens.
         doc_id, piece, start, length, crc = zip(*rows, strict=True)
         yield {"doc_id": pa.array(doc_id, pa.int64()), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())}
 
-    return common.mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), each, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return common.mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), each, "doc_id long, piece int, start long, length long, ids_crc32 long", uses="encoder")
 
 
 def packed(docs: DataFrame, tokenizer: str | None = None, room: int = ROOM, shard: int = SHARD) -> DataFrame:

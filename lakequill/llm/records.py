@@ -104,7 +104,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = tokens.END) ->
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
 
     # bytes pass the text writer as they are
-    rows.mapInArrow(common.trimmed(run), "frame binary").select(F.col("frame").cast("string")).write.option("lineSep", "\n").text(f"{path}/data")
+    rows.mapInArrow(common.trimmed(run, "encoder"), "frame binary").select(F.col("frame").cast("string")).write.option("lineSep", "\n").text(f"{path}/data")
 
 
 def _scan(spark: SparkSession, path: str) -> DataFrame:

@@ -25,6 +25,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -403,6 +404,35 @@ def _packed(it):
         yield from out()
 
 
+#: About the bytes of texts, and most of them, that are dealt out in one row.
+BUNDLE, MOST_IN_BUNDLE = 1 << 20, 512
+_BUNDLE = "block long, row long, rows array<long>, doc_ids array<long>, held_outs array<boolean>, sizes array<long>, texts binary"
+
+
+def _bundled(it):
+    """Rows of (block, row, doc_id, held_out, text), in order, as bundles of a block, whose texts are one compressed whole."""
+    z = zstandard.ZstdCompressor(level=3)
+    block, held, size = None, [], 0
+
+    def out():
+        if held:
+            rows, doc_ids, held_outs, texts = zip(*held, strict=True)
+            columns = [pa.array([block], pa.int64()), pa.array([rows[0]], pa.int64()), *(pa.array([x], pa.list_(t)) for x, t in ((rows, pa.int64()), (doc_ids, pa.int64()), (held_outs, pa.bool_())))]
+            columns += [pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([z.compress(b"".join(texts))], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "row", "rows", "doc_ids", "held_outs", "sizes", "texts"])
+            held.clear()
+
+    for batch in common.slices(common.batches(it), MOST_IN_BUNDLE):
+        for b, row, doc_id, held_out, text in zip(*(batch.column(c).to_pylist() for c in range(4)), common.raw(batch.column(4)), strict=True):
+            text = text or b""
+            if b != block or size + len(text) > BUNDLE or len(held) == MOST_IN_BUNDLE:
+                yield from out()
+                block, size = b, 0
+            held.append((row, doc_id, held_out, text))
+            size += len(text)
+    yield from out()
+
+
 def _wide(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
@@ -554,11 +584,11 @@ def scored(docs: DataFrame, frequent: int = FREQUENT, block: int = BLOCK) -> Dat
     ends_known = int(texts > 0)
 
     def run(it):
-        known = held.value
+        known, z = held.value, zstandard.ZstdDecompressor()
         block, pieces, look = None, [], None
         for batch in common.batches(it):
             blocks = batch.column(0).to_numpy()
-            # a block's entries come first, then its texts
+            # a block's entries come first, then the bundles of its texts
             edges = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1]])).tolist()
             for begin, stop in zip(edges, [*edges[1:], len(blocks)], strict=True):
                 if blocks[begin] != block:
@@ -566,14 +596,17 @@ def scored(docs: DataFrame, frequent: int = FREQUENT, block: int = BLOCK) -> Dat
                 n_entries = (stop - begin) - batch.column(1).slice(begin, stop - begin).null_count
                 for i in range(begin, begin + n_entries):
                     pieces.append((np.cumsum(batch.column(1)[i].values.to_numpy()), batch.column(2)[i].values.to_numpy().copy()))
-                for start in range(begin + n_entries, stop, 512):
+                for i in range(begin + n_entries, stop):
                     if look is None:
                         look, pieces = Lookup(_Entries(np.concatenate([k for k, _ in pieces]), np.concatenate([p for _, p in pieces]))), []
-                    yield score(known, look, batch.slice(start, min(512, stop - start)).select([3, 4, 5, 6]))
+                    ends = np.cumsum(batch.column(7)[i].values.to_numpy()).tolist()
+                    whole = z.decompress(batch.column(8)[i].as_py())
+                    texts = [whole[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+                    yield score(known, look, [batch.column(c)[i].values for c in (4, 5, 6)], texts)
 
-    def score(known, look, part):
+    def score(known, look, ids, texts):
         rows, streams = [], []
-        for text in common.raw(part.column(3)):
+        for text in texts:
             words, stream = normal(text)
             found = [known.get(w) for w in words]
             rare = [w for w, f in zip(words, found, strict=True) if f is None] if None in found else []
@@ -582,11 +615,12 @@ def scored(docs: DataFrame, frequent: int = FREQUENT, block: int = BLOCK) -> Dat
             streams.append(stream)
         keys, starts = events(streams)
         n, k, base, rare = zip(*rows, strict=True)
-        columns = [*part.columns[:3], pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(base), pa.array(np.add.reduceat(look(keys), starts)), pa.array(rare, pa.list_(pa.binary()))]
+        columns = [*ids, pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(base), pa.array(np.add.reduceat(look(keys), starts)), pa.array(rare, pa.list_(pa.binary()))]
         return pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
 
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("row", "long"), ("doc_id", "long"), ("held_out", "boolean"), ("text", "string"))]
-    both = entries.select("block", "keys", "ps", *none).union(rows.select("block", F.lit(None).cast("array<long>"), F.lit(None).cast("array<float>"), "row", "doc_id", "held_out", "text"))
+    bundles = rows.select("block", "row", "doc_id", "held_out", "text").mapInArrow(common.trimmed(_bundled), _BUNDLE)
+    none = [F.lit(None).cast(bundles.schema[c].dataType).alias(c) for c in bundles.columns[1:]]
+    both = entries.select("block", "keys", "ps", *none).union(bundles.select("block", F.lit(None).cast("array<long>"), F.lit(None).cast("array<float>"), *bundles.columns[1:]))
     both = both.repartition("block").sortWithinPartitions("block", F.col("row").asc_nulls_first())
     first = common.kept(both.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<binary>"))
     more = first.select("row", F.explode("rare").alias("word")).join(rest, "word").groupBy("row").agg(F.count("*").alias("k"), F.sum(F.log10(F.col("c") + 1)).alias("s"))
